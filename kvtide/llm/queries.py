@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, quality
+from . import langid, license_scan, mixing, mtree, ppm, quality, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op3_simhash": simhash.op3_simhash,
+    "op4_langid": langid.op4_langid,
+    "op6_lm_score": ppm.op6_lm_score,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality": quality.op8_quality,
+    "op9_url_filter": url_filter.op9_url_filter,
+    "op10_topk": mtree.op10_topk,
 }
 
 ORACLES = {
     "op7_mixing": mixing.ORACLE_SQL,
+    "op10_topk": mtree.ORACLE_SQL,
 }
