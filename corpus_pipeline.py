@@ -11,11 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kvtide.llm.common import read, written
 from kvtide.llm.mixing import stage_mixing
+from kvtide.llm.pieces import stage_pieces
 from kvtide.llm.quality import stage_quality
+from kvtide.llm.simhash import stage_simhash
+from kvtide.llm.suffix_dedup import stage_suffix_dedup
 
 STAGES = [
     ("quality rules", stage_quality),
+    ("simhash near-dedup", stage_simhash),
+    ("suffix-array dedup", stage_suffix_dedup),
     ("mixing", stage_mixing),
+    ("sentencepiece", stage_pieces),
 ]
 
 #: SQL can't express the sketches, the fingerprints or the encoding.
@@ -25,7 +31,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents."""
     docs = read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, f"stage{i}")

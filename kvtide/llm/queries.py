@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, license_scan, mixing, mtree, ppm, quality, simhash, suffix_dedup, url_filter
+from . import langid, license_scan, mixing, mtree, pieces, ppm, quality, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_simhash": simhash.op3_simhash,
     "op4_langid": langid.op4_langid,
+    "op5_pieces": pieces.op5_pieces,
     "op6_lm_score": ppm.op6_lm_score,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality": quality.op8_quality,
