@@ -224,7 +224,7 @@ def _intervals(d: np.ndarray, h: np.ndarray, s: np.ndarray) -> list[pa.Array]:
     d, h, s = d[o], h[o], s[o]
     new = np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (s[1:] > s[:-1] + 1)] if len(s) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    last = np.r_[at[1:], len(s)] - 1
+    last = np.r_[at[1:], len(s)][: len(at)] - 1
     return [pa.array(x) for x in (d[at], h[at], s[at], s[last] + LENGTH)]
 
 
@@ -274,6 +274,9 @@ def _cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, at, g, d, h, s = _spread(t.slice(cuts[k], cuts[j] - cuts[k]))
         o = np.lexsort((s, h, d))
         at, g, d, h, s = (x[o] for x in (at, g, d, h, s))
+        # a repeated row brings the very same place again
+        o = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
+        at, g, d, h, s = (x[o] for x in (at, g, d, h, s))
         order, new = _sorted_windows(data, at, g)
         again = order[~new]
         yield pa.RecordBatch.from_arrays(_intervals(d[again], h[again], s[again]), ["d", "h", "a", "b"])
