@@ -3,8 +3,8 @@
 Host, path and rules are JVM expressions. A url without a rule is judged by
 naive Bayes over the words of its host labels and its path tokens. Host names
 are concatenated words, so each label is split by a unigram Viterbi whose lexicon
-is trained here on distinct labels: pieces that occur in two or more of
-them, re-estimated by hard EM. Training texts are the urls that rules judge,
+is trained here on distinct labels: labels of two or more hosts, and pieces that
+occur in two or more labels, re-estimated by hard EM. Letters left alone say nothing. Training texts are the urls that rules judge,
 all of them; their token counts go into ``BUCKETS`` hashed buckets, which bounds
 what is broadcast at any size of the input. The lexicon is fitted on a sample
 of ``NAMES`` distinct labels (a documented parameter).
@@ -21,7 +21,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -78,18 +78,19 @@ class Segmenter:
         return out[::-1]
 
     @classmethod
-    def trained(cls, names: list[str]) -> Segmenter:
-        """Pieces of 2 to LONGEST letters in at least two of the distinct names, re-estimated by hard EM."""
+    def trained(cls, names: list[str], words: Iterable[str] = ()) -> Segmenter:
+        """Given words, and pieces of 2 to LONGEST letters in at least two of the distinct names, re-estimated by hard EM."""
+        given = {*COMMON, *words}
         found: Counter[str] = Counter()
         for n in names:
             found.update({n[i:j] for i in range(len(n)) for j in range(i + 2, min(len(n), i + LONGEST) + 1)})
         counts = {w: float(c) for w, c in sorted(found.items(), key=lambda x: (-x[1] * len(x[0]), x[0]))[:LEXICON] if c >= 2}
-        counts |= {w: counts.get(w, 0.0) + 1.0 for w in COMMON}
+        counts |= {w: counts.get(w, 0.0) + 1.0 for w in given}
         for _ in range(ROUNDS):
             s, used = cls(counts), Counter()
             for n in names:
                 used.update(s.split(n))
-            counts = {w: float(c) for w, c in used.items() if len(w) > 1 or c > 1} | {w: used[w] + 1.0 for w in COMMON}
+            counts = {w: float(c) for w, c in used.items() if len(w) > 1 or c > 1} | {w: used[w] + 1.0 for w in given}
         return cls(counts)
 
 
@@ -98,7 +99,7 @@ def tokens(host: str, path: str, seg: Segmenter, memo: dict[str, list[str]]) ->
     if host not in memo:
         if len(memo) > 100_000:
             memo.clear()
-        memo[host] = ["h:" + w for label in re.findall("[^0-9.:_-]+", host) for w in seg.split(label)]
+        memo[host] = ["h:" + w for label in re.findall("[^0-9.:_-]+", host) for w in seg.split(label) if len(w) > 1]
     return memo[host] + ["p:" + (f"#{len(t)}" if t.isdigit() else t) for t in re.findall("[^\\W_]+", path.lower())]
 
 
@@ -115,9 +116,10 @@ def parsed(pages: DataFrame) -> DataFrame:
 def judge(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, score (probability of block by naive Bayes)."""
     d = parsed(pages)
-    labels = d.select("host").distinct().select(F.explode(F.split("host", "[0-9.:_-]+")).alias("n")).filter("n <> ''").distinct()
-    names = [r.n for r in labels.orderBy(F.md5("n"), "n").limit(NAMES).collect()]
-    seg = Segmenter.trained(names)
+    parts = F.explode(F.array_distinct(F.split("host", "[0-9.:_-]+"))).alias("n")
+    labels = d.select("host").distinct().select(parts).filter("n <> ''").groupBy("n").agg(F.count("*").alias("hosts"))
+    names = labels.orderBy(F.md5("n"), "n").limit(NAMES).collect()
+    seg = Segmenter.trained([r.n for r in names], [r.n for r in names if r.hosts > 1])
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, docs, memo = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64), {}
