@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Separators of words in most contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[ \x09-\x0D]+"
 NOT_SPACE = r"[^ \x09-\x0D]+"
+#: Tables written by this process.
+_WRITTEN: list[str] = []
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,9 +39,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kvtide-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes the tables that written() made in this process, once nothing reads them any more; returns their number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    n = 0
+    while _WRITTEN:
+        p = path(_WRITTEN.pop())
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, nothing else."""
     return F.translate(c, UPPER, LOWER)
