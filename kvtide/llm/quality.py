@@ -31,7 +31,7 @@ SPREADS = 6.0
 #: Accuracy parameter of the sketches: rank error of about 1.3 %.
 SKETCH_K = 200
 #: Rate, least upper fence, largest lower fence (null: no lower fence). Fixed values.
-RATES = (("symbol_rate", 0.5, None), ("dup_line_rate", 0.3, None), ("repeat_rate", 0.3, None), ("word_length", 15.0, 2.0))
+RATES = (("symbol_rate", 0.25, None), ("dup_line_rate", 0.5, None), ("repeat_rate", 0.3, None), ("word_length", 15.0, 2.0))
 MIN_WORDS, MAX_REPEAT = 20, 30
 
 
