@@ -70,7 +70,12 @@ class MTree:
             order = np.argsort(to)
             return node | {"entries": at[order], "to": to[order]}
         fan = min(FAN, -(-len(at) // PAGE))
-        picks = at[np.linspace(0, len(at) - 1, max(2, fan)).astype(int)]
+        # routing vectors far from each other, of a spread of the entries
+        some = at[np.linspace(0, len(at) - 1, min(len(at), 64 * FAN)).astype(int)]
+        picks, apart = [int(some[0])], self._dist(some, int(some[0]))
+        while len(picks) < max(2, fan):
+            picks.append(int(some[apart.argmax()]))
+            apart = np.minimum(apart, self._dist(some, picks[-1]))
         owner = np.argmin(np.stack([self._dist(at, p) for p in picks]), 0)
         groups = [(p, at[owner == j]) for j, p in enumerate(picks) if (owner == j).any()]
         if len(groups) == 1:  # all nearest to one: halves by distance
