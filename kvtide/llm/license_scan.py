@@ -50,7 +50,7 @@ def _blanks(c: Column) -> Column:
 
 def _side(pattern: Column, text: Column) -> Column:
     """Words matched at the keyword's side: 0 for no pattern, null if the pattern doesn't match."""
-    return F.when(pattern == "", F.lit(0)).when(F.regexp_like(text, pattern), _blanks(F.regexp_substr(text, pattern)))
+    return F.when(pattern == "", F.lit(0)).when(F.regexp_like(text, pattern), _blanks(F.coalesce(F.regexp_substr(text, pattern), F.lit(""))))
 
 
 def _better(e: Column, d: Column) -> Column:

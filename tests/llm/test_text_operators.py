@@ -21,6 +21,7 @@ ODD = [
     (8, "ünïcödé 日本語 mit\u00a0license mit license 😀", "de", "b"),
     (9, "a b c d e f g h i a b c d e f g h x\na b\na b\n\n \na b", "en", "c"),
     (10, "#*$%&|<> " * 50, "en", "c"),
+    (12, "Released under the MIT License.\nDistributed under an ISC licence, spdx license identifier gpl 3 0 only", "en", "c"),
     (None, "word " * 100, "en", "c"),
     (11, " ".join(f"w{i}" for i in range(30000)), "en", "c"),
 ]
