@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, license_scan, mixing, mtree, pieces, ppm, quality, simhash, suffix_dedup, url_filter
+from . import langid, license_scan, mixing, mtree, oracles, pieces, ppm, quality, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_license_scan": oracles.license_scan_sql(),
+    "op2_suffix_dedup": oracles.suffix_dedup_sql(),
     "op7_mixing": mixing.ORACLE_SQL,
+    "op8_quality": oracles.quality_sql(),
     "op10_topk": mtree.ORACLE_SQL,
 }
