@@ -19,6 +19,8 @@ other columns of the table aren't read by the query, and ``scan`` keeps them
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +34,12 @@ RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _table(found: list[Rule]) -> Column:
-    """Keyword to its rules, a constant."""
-    by: dict[str, list[tuple[int, Rule]]] = {}
+    """Keyword to its rules, a constant: one JSON literal, which the optimizer folds, rather than thousands of expressions."""
+    by: dict[str, list[dict]] = {}
     for i, r in enumerate(found):
-        by.setdefault(r.keyword, []).append((i, r))
-    entries = []
-    for word, mine in by.items():
-        rows = [F.struct(F.lit(i).alias("id"), F.lit(r.need).alias("need"), F.lit(f"(?:^|(?<= )){r.left}$" if r.left else "").alias("left"), F.lit(f"^{r.right}(?= |$)" if r.right else "").alias("right"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r.base).alias("base")) for i, r in mine]
-        entries += [F.lit(word), F.array(*rows)]
-    return F.create_map(*entries)
+        left, right = (f"(?:^|(?<= )){r.left}$" if r.left else "", f"^{r.right}(?= |$)" if r.right else "")
+        by.setdefault(r.keyword, []).append({"id": i, "need": r.need, "left": left, "right": right, "label": r.label, "priority": r.priority, "weight": r.weight, "base": r.base})
+    return F.from_json(F.lit(json.dumps(by)), "map<string,array<struct<id:int,need:string,left:string,right:string,label:string,priority:int,weight:double,base:boolean>>>")
 
 
 def _blanks(c: Column) -> Column:
