@@ -172,6 +172,15 @@ def kv_mget(spark, sf):
     return R.multi_get(event_log(spark, sf), request, as_of_ms=AS_OF)
 
 
+@query("SELECT CAST(l_partkey AS BIGINT) AS pos, CAST(l_orderkey AS VARCHAR) AS key, o_orderpriority AS value FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey")
+def kv_mget_bulk(spark, sf):
+    """A lookup of each line's order."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    log = o.select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("seq"), F.lit(1).cast("byte").alias("op"), F.lit(0).cast("long").alias("expires_at_ms"))
+    request = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_partkey").alias("pos"), F.col("l_orderkey").cast("string").alias("key"))
+    return R.multi_get(log, request, as_of_ms=AS_OF)
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (1, 7, 32, 4999)")
 def kv_lookup_orders(spark, sf):
     keys = spark.createDataFrame([(k,) for k in (1, 7, 32, 4999, 32)], "o_orderkey long")
