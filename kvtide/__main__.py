@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 import argparse
+import random
 import time
 
 from pyspark.sql import SparkSession
 
-from .commands import Store, serve, shell
+from .commands import Store, serve, shell, status
+from .operators.mutations import WriteBatch
 from .sources.table import KVTable
 
 
+def random_batch(n: int = 100) -> WriteBatch:
+    b = WriteBatch()
+    for _ in range(n):
+        b.put(f"key:{random.randrange(10_000):06d}", f"value-{random.random()}")
+    return b
+
+
 def main() -> None:
     p = argparse.ArgumentParser(prog="kvtide")
     p.add_argument("path")
-    p.add_argument("command", choices=["put", "get", "delete", "scan", "shell", "server", "stats", "compact"])
+    p.add_argument("command", choices=["put", "get", "delete", "scan", "shell", "server", "stats", "compact", "tui"])
     p.add_argument("args", nargs="*")
     p.add_argument("--port", type=int, default=6379)
+    p.add_argument("--simulate", action="store_true", help="tui: write random keys meanwhile")
     a = p.parse_args()
     spark = SparkSession.builder.appName("kvtide").config("spark.ui.enabled", "false").getOrCreate()
     store = Store(KVTable(spark, a.path))
@@ -24,6 +34,12 @@ def main() -> None:
         print("port", serve(store, a.port).server_address[1])
         while True:
             time.sleep(60)
+    if a.command == "tui":
+        while True:
+            if a.simulate:
+                store.write(random_batch())
+            print("\033[2J" + status(store.metrics(), store.table.options))
+            time.sleep(1)
     if a.command == "shell":
         while (answer := shell(store, input("> "))) is not None:
             print(answer)

@@ -129,3 +129,21 @@ def as_of(log: DataFrame, probes: DataFrame, key: str = "key") -> DataFrame:
     w = W.partitionBy(key).orderBy("seq", F.col("at_seq").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     both = v.unionByName(p).withColumn("seen", F.last("hit", ignorenulls=True).over(w))
     return both.filter("at_seq IS NOT NULL").select(key, "at_seq", F.col("seen.seq").alias("seq"), F.col("seen.op").alias("op"), F.col("seen.value").alias("value"))
+
+
+def validity(log: DataFrame, key: str = "key") -> DataFrame:
+    """Each version with the interval of sequence numbers [seq, until) in which it is the newest; until is null for the last."""
+    w = W.partitionBy(key).orderBy("seq")
+    return log.withColumn("until", F.lead("seq").over(w))
+
+
+def range_join(points: DataFrame, intervals: DataFrame, at: str, lo: str, hi: str, width: int) -> DataFrame:
+    """Points in half-open intervals [lo, hi), of two frames without common columns.
+
+    An interval goes to every bucket of the given width that it meets, so the join is by
+    bucket and not a product. The width should be near the usual length of an interval.
+    """
+    bucket = lambda c: F.floor(c / F.lit(width))
+    spread = intervals.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(lo)), bucket(F.col(hi) - 1))))
+    p = points.withColumn("_bucket", bucket(F.col(at)))
+    return p.join(spread, "_bucket").filter((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_bucket")

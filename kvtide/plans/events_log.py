@@ -484,3 +484,76 @@ def ext_intersect(spark, sf):
 def ext_json_value(spark, sf):
     v = R.resolve(event_log(spark, sf), as_of_ms=AS_OF)
     return v.select("key", F.from_json("value", "k long")["k"].alias("k"))
+
+
+@query(_sql("SELECT p.at, v.key, v.seq FROM (SELECT seq AS at FROM log WHERE seq % 100 = 0) p JOIN (SELECT key, seq, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS until FROM log) v ON p.at >= v.seq AND p.at < v.until"))
+def ext_range_join(spark, sf):
+    """Which versions are the newest of their keys at every hundredth commit."""
+    log = event_log(spark, sf)
+    v = R.validity(log).filter("until IS NOT NULL").select("key", "seq", "until")
+    points = log.filter("seq % 100 = 0").select(F.col("seq").alias("at"))
+    return R.range_join(points, v, "at", "seq", "until", 256).select("at", "key", "seq")
+
+
+@query("SELECT event_type, user_id % 5 AS part, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 5), ())")
+def ext_grouping_sets(spark, sf):
+    e = events(spark, sf).withColumn("part", F.col("user_id") % 5)
+    return e.groupingSets([["event_type"], ["part"], []], "event_type", "part").agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def ext_tumbling_window(spark, sf):
+    e = events(spark, sf).withColumn("t", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.window("t", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query("SELECT time_bucket(INTERVAL '12 hours', ts) - h * INTERVAL '12 hours' AS start, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS h) GROUP BY 1")
+def ext_sliding_window(spark, sf):
+    e = events(spark, sf).withColumn("t", F.col("ts").cast("timestamp"))
+    return e.groupBy(F.window("t", "24 hours", "12 hours").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run
+FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, run""")
+def ext_session_window(spark, sf):
+    e = events(spark, sf).withColumn("t", F.col("ts").cast("timestamp"))
+    return e.groupBy("user_id", F.session_window("t", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS day, CAST(CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS TINYINT) AS op, count(*) AS n FROM events GROUP BY 1, 2")
+def kv_stream_windows(spark, sf):
+    """Mutations a day and operation, counted by a stream with a watermark."""
+    from ..streaming.log_stream import activity
+
+    path = _scratch(spark)
+    e = events(spark, sf).withColumn("t", F.col("ts").cast("timestamp")).withColumn("op", F.when(F.col("event_type") == "error", 2).otherwise(1).cast("byte")).select("t", "op")
+    e.write.parquet(f"{path}/in")
+    name = f"windows_{uuid.uuid4().hex[:8]}"
+    source = spark.readStream.schema(e.schema).parquet(f"{path}/in")
+    q = activity(source, "t", size="1 day").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("day"), "op", "n")
+
+
+@query(_sql("SELECT coalesce(a.key, b.key) AS key, a.seq AS old_seq, b.seq AS new_seq FROM a FULL JOIN b ON a.key = b.key", _last(SNAP, "a"), _last(MAX, "b")))
+def ext_full_join(spark, sf):
+    log = event_log(spark, sf)
+    a = R.latest_versions(R.visible(log, SNAP)).select("key", F.col("seq").alias("old_seq"))
+    return a.join(R.latest_versions(log).select("key", F.col("seq").alias("new_seq")), "key", "full")
+
+
+@query(_sql("SELECT k.key, CAST(unnest(range(1, 4)) AS INTEGER) AS part, substr(k.key, 6, 6) AS digits FROM (SELECT DISTINCT key FROM log) k"))
+def ext_udtf(spark, sf):
+    """A table function in Python, joined laterally."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="part int, digits string")
+    class Parts:
+        def eval(self, key: str):
+            for i in range(1, 4):
+                yield i, key[5:11]
+
+    name = f"parts_{uuid.uuid4().hex[:8]}"
+    spark.udtf.register(name, Parts)
+    event_log(spark, sf).select("key").distinct().createOrReplaceTempView(f"keys_{name}")
+    return spark.sql(f"SELECT k.key, p.part, p.digits FROM keys_{name} k, LATERAL {name}(k.key) p")
