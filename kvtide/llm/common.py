@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it was counted to have few; otherwise the join is left to the optimizer, which splits skewed keys."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def sweep(spark: SparkSession) -> int:
     """Deletes the tables that written() made in this process, once nothing reads them any more; returns their number."""
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -61,3 +69,19 @@ def lower_ascii(c: Column) -> Column:
 def parts_for(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its memory back at the end: Python workers stay for later tasks, and what they hold counts."""
+
+    @wraps(run)
+    def trimmed(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return trimmed

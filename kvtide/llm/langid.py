@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import lean, read
 
 FOLDS, HELD = 5, 0
 WINDOW, WIDTHS, FILTERS = 256, (2, 4, 6), 16
@@ -179,7 +179,7 @@ def train(docs: DataFrame) -> Network | None:
 
     # at most SAMPLE ids, so their broadcast is bounded
     picked = ok.join(F.broadcast(ids), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("text", "lang")
-    got = picked.mapInArrow(cut, "lang string, data binary").limit(SAMPLE * PER_DOC).toPandas().sort_values(["lang", "data"])
+    got = picked.mapInArrow(lean(cut), "lang string, data binary").limit(SAMPLE * PER_DOC).toPandas().sort_values(["lang", "data"])
     if got.empty:
         return None
     langs = sorted(set(got["lang"]))
@@ -227,7 +227,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             flush()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return d.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return d.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

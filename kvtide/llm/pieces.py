@@ -39,12 +39,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import lean, read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Characters of text in a batch, characters of units indexed at a time, units remembered, longest unit merged in rounds.
-BATCH, INDEXED, KNOWN, LONG = 1 << 22, 1 << 20, 600_000, 48
+BATCH, INDEXED, KNOWN, LONG = 1 << 21, 1 << 18, 600_000, 48
 NONE = np.iinfo(np.int32).max
 
 
@@ -311,7 +311,7 @@ def _coded(docs: DataFrame, model: str, schema: str, row) -> DataFrame:
                 yield row(b.slice(k, j - k), texts[k:j], cut, coder)
                 k = j
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import lean, read, written
 
 ORDER = 2
 END = 255
@@ -140,7 +140,7 @@ def _common(docs: DataFrame) -> list[bytes]:
 
     if not n:
         return []
-    got = docs.select("text").sample(min(1.0, SAMPLE_DOCS / n), seed=1).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    got = docs.select("text").sample(min(1.0, SAMPLE_DOCS / n), seed=1).mapInArrow(lean(run), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
     return [bytes(r.w) for r in got.orderBy(F.col("n").desc(), "w").limit(COMMON).collect()]
 
 
@@ -182,7 +182,7 @@ def _counts(train: DataFrame, common: list[bytes]) -> tuple[np.ndarray, int, int
             ns.append(row[s])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in ((kinds, np.int32), (keys, np.int64), (ns, np.int64))], ["kind", "key", "n"])
 
-    got = train.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
+    got = train.select("text").mapInArrow(lean(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
     kind, key, n = (got[c].to_numpy() for c in ("kind", "key", "n"))
     c = np.zeros(len(common), np.int64)
     c[key[kind == 0]] = n[kind == 0]
@@ -228,7 +228,7 @@ def score(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *[pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)]], ["doc_id", "held_out", *out])
 
-    s = written(d.mapInArrow(run, f"doc_id {kind}, held_out boolean, rid long, n long, known long, base double, score double, rare array<binary>, tf array<long>"), "scores")
+    s = written(d.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, rid long, n long, known long, base double, score double, rare array<binary>, tf array<long>"), "scores")
     every = s.select("rid", "held_out", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select("rid", "held_out", F.col("x.rare").alias("w"), F.col("x.tf").alias("tf"))
     seen = written(every.filter("NOT held_out").groupBy("w").agg(F.sum("tf").alias("c")), "token-counts")
     kinds = seen.count() + int((counts > 0).sum()) + int(n_docs > 0)

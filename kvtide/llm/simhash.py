@@ -31,13 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import parts_for, read, written
+from .common import lean, parts_for, read, written
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 #: Members of a bucket above which it is refined, and of a tile.
-BUCKET, TILE, SMALL = 4096, 1024, 8
+BUCKET, TILE, SMALL = 4096, 512, 8
 #: Shingles hashed at a time, which bounds memory for very long texts.
 CHUNK = 1 << 16
 MASK = (1 << 64) - 1
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, fp long")
 
 
 def _local_roots(fp: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def links(distinct: DataFrame) -> DataFrame:
     fine = rest.filter("hot IS NOT NULL").select("k1", "fp", "rest", F.explode(four).alias("j"))
     fine = fine.select("k1", (_block(F.col("rest"), F.col("j") * 12, 12) * 4 + F.col("j")).alias("k2"), "fp")
     both = cold.unionByName(fine).repartition(n, "k1", "k2")
-    return both.mapInArrow(_tiles, "a long, b long").distinct()
+    return both.mapInArrow(lean(_tiles), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_for, read, written
+from .common import lean, parts_for, read, written
 
 LENGTH, GRAM = 100, 32
 #: Edges of a token above which its windows are grouped one by one.
@@ -182,9 +182,9 @@ def _settled(rows: list) -> list[tuple]:
 def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Repeats and edges among the runs of documents (_sa_d, _sa_h, text)."""
     spark = keyed.sparkSession
-    a = keyed.select(F.col("_sa_d").alias("d"), F.col("_sa_h").alias("h"), "text").mapInArrow(_run_rows, RUN)
+    a = keyed.select(F.col("_sa_d").alias("d"), F.col("_sa_h").alias("h"), "text").mapInArrow(lean(_run_rows), RUN)
     ranged = a.repartitionByRange(parts_for(keyed), "m", "span", "d", "h", "s")
-    out = written(ranged.mapInArrow(_bucket, f"kind string, bucket long, alone boolean, {RUN}"), "runs")
+    out = written(ranged.mapInArrow(lean(_bucket), f"kind string, bucket long, alone boolean, {RUN}"), "runs")
     ends = out.filter(F.col("kind").isin("f", "t", "z")).collect()  # three rows a bucket at most
     more = spark.createDataFrame(_settled(ends), f"kind string, {RUN}")
     both = out.select("kind", *RUN_NAMES).unionByName(more)
@@ -299,10 +299,10 @@ def cuts(keyed: DataFrame, hot: int | None = None) -> DataFrame:
     edges = edges.join(many, F.col("m") == F.col("hm"), "left").withColumn("hot", F.col("hm").isNotNull())
     by_doc = edges.groupBy(F.col("d").alias("_sa_ed"), F.col("h").alias("_sa_eh")).agg(F.collect_list(F.struct("m", "hot", "s", "n")).alias("_sa_edges"))
     joined = keyed.join(by_doc, (F.col("_sa_d") == F.col("_sa_ed")) & (F.col("_sa_h") == F.col("_sa_eh")))
-    rows = joined.mapInArrow(_edge_bytes, "m long, hot boolean, d long, h long, s long, data binary")
+    rows = joined.mapInArrow(lean(_edge_bytes), "m long, hot boolean, d long, h long, s long, data binary")
     n = parts_for(keyed)
-    cold = rows.filter("NOT hot").repartition(n, "m").mapInArrow(_cold, CUT)
-    w = rows.filter("hot").mapInArrow(_hot, "m long, w binary, d long, h long, s long")
+    cold = rows.filter("NOT hot").repartition(n, "m").mapInArrow(lean(_cold), CUT)
+    w = rows.filter("hot").mapInArrow(lean(_hot), "m long, w binary, d long, h long, s long")
     place = F.struct("d", "h", "s")
     least = w.groupBy(F.col("m").alias("lm"), F.col("w").alias("lw")).agg(F.min(place).alias("least"))
     again = w.join(least, (F.col("m") == F.col("lm")) & (F.col("w") == F.col("lw"))).filter(place > F.col("least"))
@@ -363,7 +363,7 @@ def digest(d: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return d.select("doc_id", "text", "_sa_cuts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return d.select("doc_id", "text", "_sa_cuts").mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -381,7 +381,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             out = [pa.array(left, b.schema.field(at).type) if i == at else b.column(i) for i in range(len(cols))]
             yield pa.RecordBatch.from_arrays(out, cols)
 
-    out = d.select(*names).mapInArrow(run, docs.schema)
+    out = d.select(*names).mapInArrow(lean(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in cols else out
 
 
