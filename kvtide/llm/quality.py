@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, read, written
+from .common import SPACE, read, small, written
 
 WINDOW = 8
 #: Interquartile ranges beyond the upper (lower) quartile that are still normal.
@@ -108,7 +108,8 @@ def judge(docs: DataFrame) -> DataFrame:
 def judge_stats(s: DataFrame) -> DataFrame:
     """The verdicts on rows that have their statistics, which are made once and written to the shared folder."""
     d = written(s, "quality")
-    j = d.join(fences(d), F.col("lang").eqNullSafe(F.col("_q_lang")) & F.col("source").eqNullSafe(F.col("_q_source")), "left")
+    f = small(written(fences(d), "fences"))
+    j = d.join(f, F.col("lang").eqNullSafe(F.col("_q_lang")) & F.col("source").eqNullSafe(F.col("_q_source")), "left")
     ok = ~F.col("base_failed")
     for r, _, most in RATES:
         ok = ok & F.coalesce(F.col(r) <= F.col(f"_q_max_{r}"), F.lit(True))
