@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, read, written
+from .common import NOT_SPACE, read, small, written
 
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -68,19 +68,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float =
     goal = water_fill(slices.groupBy("source").agg(F.sum("_mix_sum").alias("source_size")), weights, max_epochs)
     s = F.col("source_size")
     whole = F.when(s > 0, F.floor(F.col("target") / s)).otherwise(F.lit(0)).cast("long")
-    goal = goal.select(F.col("source").alias("_mix_source"), "source_size", "target", whole.alias("_mix_whole"), (F.col("target") - whole * s).alias("_mix_rest"))
+    goal = goal.select("source", "source_size", "target", whole.alias("_mix_whole"), (F.col("target") - whole * s).alias("_mix_rest"))
+    # a row a source: the slice in which the wanted sum is reached, and what comes before it
     run = W.partitionBy("source").orderBy("_mix_slice")
-    cut = slices.withColumn("_mix_before", F.sum("_mix_sum").over(run) - F.col("_mix_sum"))
-    cut = cut.select(F.col("source").alias("_mix_s"), F.col("_mix_slice").alias("_mix_sl"), "_mix_before", "_mix_sum")
-    per_slice = cut.join(goal, F.col("_mix_s").eqNullSafe(F.col("_mix_source"))).select("_mix_s", "_mix_sl", "_mix_before", "_mix_sum", "source_size", "target", "_mix_whole", "_mix_rest")
-    j = d.join(per_slice, F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_slice") == F.col("_mix_sl")))
-    inside = (F.col("_mix_before") < F.col("_mix_rest")) & (F.col("_mix_before") + F.col("_mix_sum") > F.col("_mix_rest"))
+    cut = slices.withColumn("_mix_before", F.sum("_mix_sum").over(run) - F.col("_mix_sum")).withColumnRenamed("source", "_mix_s")
+    cut = cut.join(goal, F.col("_mix_s").eqNullSafe(F.col("source"))).filter(F.col("_mix_before") + F.col("_mix_sum") > F.col("_mix_rest"))
+    cut = cut.groupBy("_mix_s").agg(F.min(F.struct("_mix_slice", "_mix_before")).alias("_mix_cut"))
+    per = goal.join(cut, F.col("source").eqNullSafe(F.col("_mix_s")), "left").select(F.col("source").alias("_mix_source"), "source_size", "target", "_mix_whole", "_mix_rest", F.col("_mix_cut._mix_slice").alias("_mix_at"), F.col("_mix_cut._mix_before").alias("_mix_before"))
+    j = d.join(small(written(per, "mix-goal")), F.col("source").eqNullSafe(F.col("_mix_source")))
+    inside = F.coalesce(F.col("_mix_slice") == F.col("_mix_at"), F.lit(False))
     # rows of other slices aren't in the order: only a slice of each source is sorted
     rows = W.partitionBy("source", "_mix_slice").orderBy("_mix_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     edge = j.filter(inside).withColumn("_mix_run", F.col("_mix_before") + F.sum("size").over(rows) - F.col("size"))
     # the document at the edge goes in if that brings the sum nearer
     edge = edge.withColumn("_mix_extra", (F.col("_mix_run") + F.col("size") / 2.0 <= F.col("_mix_rest")).cast("long")).drop("_mix_run")
-    rest = j.filter(~inside).withColumn("_mix_extra", (F.col("_mix_before") + F.col("_mix_sum") <= F.col("_mix_rest")).cast("long"))
+    rest = j.filter(~inside).withColumn("_mix_extra", F.coalesce(F.col("_mix_slice") < F.col("_mix_at"), F.lit(True)).cast("long"))
     out = edge.unionByName(rest)
     reps = F.when(F.col("size") > 0, F.least(F.col("_mix_whole") + F.col("_mix_extra"), F.lit(int(max_epochs)))).otherwise(F.lit(0)).cast("long")
     return out.withColumn("reps", reps).drop(*[c for c in out.columns if c.startswith("_mix_")])
