@@ -191,7 +191,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one whose id the component has. Rows that repeat an id are one document."""
     fps = written(fingerprints(docs), "fingerprints")
-    keep = near_duplicates(fps).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi")
-    first = W.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last())
-    return kept.withColumn("_keep_n", F.row_number().over(first)).filter("_keep_n = 1").drop("_keep_n")
+    keep = near_duplicates(fps).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    # one key without nulls for the join and the window, so that texts are shuffled once
+    null, key = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    keep = keep.select(null.alias("_keep_null"), key.alias("_keep_key"))
+    kept = docs.withColumn("_keep_null", null).withColumn("_keep_key", key).join(keep, ["_keep_null", "_keep_key"], "left_semi")
+    first = W.partitionBy("_keep_null", "_keep_key").orderBy(F.col("text").desc_nulls_last())
+    return kept.withColumn("_keep_n", F.row_number().over(first)).filter("_keep_n = 1").select(*docs.columns)
