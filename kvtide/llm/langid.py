@@ -161,9 +161,15 @@ class Network:
 
 def train(docs: DataFrame) -> Network | None:
     """A network fitted on a bounded sample of docs (doc_id, text, lang), of those outside the held-out fold."""
-    ok = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    mine = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    ok = mine.filter(F.col("text").rlike(r"\p{L}"))
+    # a threshold on the hash leaves some PER_LANG rows of each frequent language, so that few meet to be ranked
+    many = mine.select("lang").groupBy("lang").count().filter(F.col("count") > 4 * PER_LANG).orderBy(F.desc("count"), "lang").limit(1000).collect()
+    pairs = [F.lit(x) for r in many for x in (r["lang"], 4.0 * PER_LANG / r["count"])]
+    share = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("lang")), F.lit(1.0)) if pairs else F.lit(1.0)
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = ok.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("n", rank).filter(F.col("n") <= PER_LANG)
+    hashed = ok.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    ids = hashed.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).withColumn("n", rank).filter(F.col("n") <= PER_LANG)
     ids = ids.orderBy("n", "lang").limit(SAMPLE).select(F.col("doc_id").alias("i"), F.col("lang").alias("l")).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
