@@ -296,12 +296,14 @@ def cuts(keyed: DataFrame, hot: int | None = None) -> DataFrame:
     """(_sa_d, _sa_h, _sa_a, _sa_b): a row a document with the intervals that earlier documents have."""
     repeats, edges = candidates(keyed)
     many = edges.groupBy("m").agg(F.count("*").alias("c")).filter(F.col("c") > (HOT if hot is None else hot)).select(F.col("m").alias("hm"))
-    edges = edges.join(many, F.col("m") == F.col("hm"), "left").withColumn("hot", F.col("hm").isNotNull())
+    any_hot = not many.isEmpty()
+    # without hot tokens, which is the rule, nothing has to meet by token to learn that
+    edges = edges.join(many, F.col("m") == F.col("hm"), "left").withColumn("hot", F.col("hm").isNotNull()) if any_hot else edges.withColumn("hot", F.lit(False))
     by_doc = edges.groupBy(F.col("d").alias("_sa_ed"), F.col("h").alias("_sa_eh")).agg(F.collect_list(F.struct("m", "hot", "s", "n")).alias("_sa_edges"))
     joined = keyed.join(by_doc, (F.col("_sa_d") == F.col("_sa_ed")) & (F.col("_sa_h") == F.col("_sa_eh")))
     rows = joined.mapInArrow(lean(_edge_bytes), "m long, hot boolean, d long, h long, s long, data binary")
     n = parts_for(keyed)
-    cold = rows.filter("NOT hot").repartition(n, "m").mapInArrow(lean(_cold), CUT)
+    cold = (rows.filter("NOT hot") if any_hot else rows).repartition(n, "m").mapInArrow(lean(_cold), CUT)
     w = rows.filter("hot").mapInArrow(lean(_hot), "m long, w binary, d long, h long, s long")
     place = F.struct("d", "h", "s")
     least = w.groupBy(F.col("m").alias("lm"), F.col("w").alias("lw")).agg(F.min(place).alias("least"))
@@ -309,7 +311,7 @@ def cuts(keyed: DataFrame, hot: int | None = None) -> DataFrame:
     warm = again.select("d", "h", F.col("s").alias("a"), (F.col("s") + LENGTH).alias("b"))
     whole = repeats.select("d", "h", F.col("s").alias("a"), (F.col("s") + F.col("n") - 1 + LENGTH).alias("b"))
     every = whole.unionByName(cold)
-    if not many.isEmpty():
+    if any_hot:
         every = every.unionByName(warm)
     lists = every.groupBy(F.col("d").alias("_sa_cd"), F.col("h").alias("_sa_ch")).agg(F.collect_list(F.struct("a", "b")).alias("_sa_cuts"))
     return lists
