@@ -41,7 +41,8 @@ class KVTable:
         """Rows as sorted files of a level, with their statistics from one aggregate over what was written."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
         out = rows.select(*KV_COLUMNS).write.option("compression", self.options.codec).option("parquet.bloom.filter.enabled#key", "true")
-        out.parquet(folder)
+        # a filter as large as the file's keys need; the fixed size would be 1 MiB even for one key
+        out.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number#key", "12").parquet(folder)
         got = self.spark.read.schema(KV_SCHEMA).parquet(folder).withColumn("path", F.col("_metadata.file_path"))
         stats = got.groupBy("path").agg(F.count("*").alias("n"), F.hex(F.min("key")).alias("lo"), F.hex(F.max("key")).alias("hi"), F.min("seq").alias("a"), F.max("seq").alias("b")).collect()  # a row a file
         return [FileMeta(r.path, level, r.n, self.log.size(r.path), r.lo, r.hi, r.a, r.b) for r in sorted(stats, key=lambda r: r.lo)]

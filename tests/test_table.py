@@ -161,3 +161,29 @@ def test_empty_keys_are_refused_in_bulk(spark, tmp_path):
     with pytest.raises(Exception, match="a key is empty"):
         t.append(M.puts(spark.range(1), F.lit(""), F.lit("x")), "id")
     assert t.version().number == -1 and t.scan().count() == 0
+
+
+def test_states_shorten_the_log(spark, tmp_path, monkeypatch):
+    from kvtide.sources import commitlog
+
+    monkeypatch.setattr(commitlog, "STATE_EVERY", 3)
+    t = table(spark, tmp_path)
+    for i in range(7):
+        t.put(f"k{i}", str(i))
+    assert t.log.numbers(".state") == [2, 5] and t.log.numbers() == list(range(7))
+    t.log.delete(f"{t.log.folder}/{0:020d}.json")  # a new reader starts from the state
+    again = table(spark, tmp_path)
+    assert again.size() == 7 and again.version().max_seq == 7 and again.metrics()["writes"] == 7
+    assert [len(table(spark, tmp_path).version(n).files) for n in (2, 4, 5, 6)] == [3, 5, 6, 7]
+
+
+def test_a_half_written_commit_is_none(spark, tmp_path):
+    t = table(spark, tmp_path)
+    t.put("a", "1")
+    (tmp_path / "t" / "_commits" / f"{1:020d}.json").write_text('{"add": [')
+    again = table(spark, tmp_path)
+    assert again.version().number == 0 and again.get("a") == b"1"
+    with pytest.raises(CommitConflict):
+        again.log.publish(again.version(), [], [], 1)
+    assert again.log.repair() and not again.log.repair()
+    assert again.put("b", "2") == 2
