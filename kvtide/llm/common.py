@@ -20,8 +20,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the data folder, read by Spark so that any file system works."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the data folder, read by Spark so that any file system works.
+
+    A table in fewer splits than there are cores, such as one small file, is dealt over
+    all of them first: the work on a text costs far more than moving it.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
