@@ -71,9 +71,12 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Network:
     """Filters by width (width, class, filter), and the softmax layer."""
 
-    def __init__(self, langs: list[str], seed: int = 7) -> None:
-        r = np.random.default_rng(seed)
+    def __init__(self, langs: list[str], p: dict[str, np.ndarray] | None = None, seed: int = 7) -> None:
         self.langs = langs
+        if p is not None:
+            self.p = p
+            return
+        r = np.random.default_rng(seed)
         self.p = {f"w{w}": r.normal(0, 0.5 / w, (w, CLASSES, FILTERS)).astype(np.float32) for w in WIDTHS}
         self.p |= {f"b{w}": np.zeros(FILTERS, np.float32) for w in WIDTHS}
         self.p |= {"u": r.normal(0, 0.1, (FILTERS * len(WIDTHS), len(langs))).astype(np.float32), "c": np.zeros(len(langs), np.float32)}
@@ -201,23 +204,24 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     d = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(letters, F.col("text")).alias("text"))
     if net is None:
         return d.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast((net, net.tables()))
+    # plain data, so that executors needn't have this module to read it
+    shared = docs.sparkSession.sparkContext.broadcast((net.langs, net.p, net.tables()))
 
-    def means(texts: list[bytes]) -> np.ndarray:
-        net, tables = shared.value
+    def means(net: Network, texts: list[bytes]) -> np.ndarray:
+        tables = shared.value[2]
         x, n = windows(texts)
         sums = np.add.reduceat(net.predict(x, tables).astype(np.float64), np.cumsum(n) - n, axis=0)
         return sums / n[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, _ = shared.value
+        net = Network(*shared.value[:2])
         for b in batches:
             lang, score = ["und"] * b.num_rows, [0.0] * b.num_rows
             at, held, size = [], [], 0
 
             def flush() -> None:
                 if held:
-                    for i, p in zip(at, means(held), strict=True):
+                    for i, p in zip(at, means(net, held), strict=True):
                         lang[i], score[i] = net.langs[int(p.argmax())], min(1.0, float(p.max()))
                 at.clear()
                 held.clear()

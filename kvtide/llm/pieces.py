@@ -293,11 +293,12 @@ class Coder:
 
 def _coded(docs: DataFrame, model: str, schema: str, row) -> DataFrame:
     """docs batch by batch through row(columns, texts, ids of each text, coder), a function from a list of rows to a record batch."""
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
+    # plain data, so that executors needn't have this module to read it
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(Vocabulary.load(model)))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
+        coder = Coder(Vocabulary(*shared.value))
         for b in batches:
             texts = [t.as_py() or "" for t in b.column(at)]
             k = 0
