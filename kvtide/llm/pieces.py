@@ -44,7 +44,7 @@ from .common import lean, read
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Characters of text in a batch, characters of units indexed at a time, units remembered, longest unit merged in rounds.
-BATCH, INDEXED, KNOWN, LONG = 1 << 21, 1 << 18, 600_000, 48
+BATCH, INDEXED, KNOWN, LONG = 1 << 21, 1 << 19, 600_000, 48
 NONE = np.iinfo(np.int32).max
 
 
