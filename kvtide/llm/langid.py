@@ -32,7 +32,7 @@ from .common import lean, read
 FOLDS, HELD = 5, 0
 WINDOW, WIDTHS, FILTERS = 256, (2, 4, 6), 16
 PER_LANG, SAMPLE, PER_DOC = 500, 8192, 8
-EPOCHS, BATCH, RATE = 12, 64, 3e-3
+EPOCHS, BATCH, RATE = 6, 64, 3e-3
 CLASSES = 128
 #: Windows worked on at a time, and bytes of text gathered for that.
 AT_ONCE, CHUNK = 512, 1 << 21
