@@ -61,16 +61,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * sums > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, fp) with fp as a signed long, and the carried columns."""
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carried)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fp.view(np.int64))], ["doc_id", *carried, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", *carried).mapInArrow(lean(run), ", ".join([*kinds, "fp long"]))
 
 
 def _local_roots(fp: np.ndarray) -> np.ndarray:
@@ -171,11 +171,15 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def rooted(classes: DataFrame) -> DataFrame:
+    """classes, a written table of distinct fp; adds root, the same for all of a component."""
+    label = components(links(classes.select("fp")))
+    return classes.join(label, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("label", "fp"))
+
+
 def near_duplicates(fps: DataFrame) -> DataFrame:
     """fps: (doc_id, fp), best a written table; adds component_id."""
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    label = components(links(classes.select("fp")))
-    c = classes.join(label, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("label", "fp"))
+    c = rooted(written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes"))
     # min over the whole component; a component is small beside the table, and its rows are pre-aggregated
     ids = c.groupBy("root").agg(F.min("rep").alias("component_id"))
     by = c.select("fp", "root").join(ids, "root").select(F.col("fp").alias("cfp"), "component_id")
@@ -189,12 +193,17 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one whose id the component has. Rows that repeat an id are one document."""
-    fps = written(fingerprints(docs), "fingerprints")
-    keep = near_duplicates(fps).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """One row of each component stays, of its smallest doc_id (null if it has no other). Rows are told apart by doc_id and text."""
+    d = docs.withColumn("_keep_hash", F.coalesce(F.md5("text"), F.lit("")))
+    fps = written(fingerprints(d, "_keep_hash"), "fingerprints")
+    # partial sums before every shuffle, so a component of any size is no skew
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_keep_hash")
+    c = rooted(written(fps.groupBy("fp").agg(F.min(row).alias("row")), "classes"))
+    keep = c.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row._keep_hash")
     # one key without nulls for the join and the window, so that texts are shuffled once
-    null, key = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keep = keep.select(null.alias("_keep_null"), key.alias("_keep_key"))
-    kept = docs.withColumn("_keep_null", null).withColumn("_keep_key", key).join(keep, ["_keep_null", "_keep_key"], "left_semi")
-    first = W.partitionBy("_keep_null", "_keep_key").orderBy(F.col("text").desc_nulls_last())
+    keyed = lambda x: x.withColumn("_keep_null", F.col("doc_id").isNull()).withColumn("_keep_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = ["_keep_null", "_keep_key", "_keep_hash"]
+    kept = keyed(d).join(keyed(keep).select(*key), key, "left_semi")
+    # rows equal in doc_id and text
+    first = W.partitionBy(*key).orderBy("text")
     return kept.withColumn("_keep_n", F.row_number().over(first)).filter("_keep_n = 1").select(*docs.columns)

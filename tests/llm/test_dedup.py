@@ -101,6 +101,17 @@ def test_odd_documents(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [5, 8, 9]
 
 
+def test_distinct_documents_that_share_an_id_stay(spark):
+    """Null and repeated ids: a row of each component stays, not of each id."""
+    r = random.Random(7)
+    t = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(5)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (1, t[2]), (2, t[2]), (2, t[3]), (3, t[4]), (3, t[4])]
+    df = spark.createDataFrame([(i, x, 1) for i, x in rows], "doc_id long, text string, fp int")
+    kept = S.stage_simhash(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, t.index(r.text)) for r in kept.collect()) == [(0, 0), (0, 1), (1, 2), (2, 3), (3, 4)]
+
+
 # ---- suffix dedup
 
 
