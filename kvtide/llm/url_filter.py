@@ -3,11 +3,12 @@
 Host, path and rules are JVM expressions. A url without a rule is judged by
 naive Bayes over the words of its host labels and its path tokens. Host names
 are concatenated words, so each label is split by a unigram Viterbi whose lexicon
-is trained here on distinct labels: labels of two or more hosts, and pieces that
-occur in two or more labels, re-estimated by hard EM. Letters left alone say nothing. Training texts are the urls that rules judge,
-all of them; their token counts go into ``BUCKETS`` hashed buckets, which bounds
-what is broadcast at any size of the input. The lexicon is fitted on a sample
-of ``NAMES`` distinct labels (a documented parameter).
+is trained on all distinct labels: labels of two or more hosts, and pieces that
+occur in two or more labels, re-estimated by hard EM. The lexicon is a table: pieces are
+counted with partial sums, and each label is joined to the counts of its own
+pieces, so that nothing is collected or cut. Letters left alone say nothing. Training
+texts are the urls that rules judge, all of them; their token counts are exact, in a
+table that is joined by token.
 
 Defined cases: null urls and urls without ``://`` have empty host and path and
 no rule; they are judged by the prior alone. Without any training url the
@@ -19,24 +20,20 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, read
+from .common import lower_ascii, read, small, written
 
 #: Verdict, host, path prefix.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Words that any lexicon has.
 COMMON = "ads api app best blog buy cdn chat click cloud com data dev docs example files forum free game games help home image img info mail media mobile music news online page photo play porn post pro sale search sex shop site store tech the top track tracker travel video web wiki work world www xxx".split()
-NAMES, ROUNDS, LONGEST, LEXICON = 20_000, 3, 12, 50_000
-BUCKETS = 1 << 16
-CLASSES = ("allow", "block")
+ROUNDS, LONGEST = 3, 12
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -59,7 +56,16 @@ class Segmenter:
     """Unigram Viterbi over letters; unknown stretches cost by the letter."""
 
     def __init__(self, counts: dict[str, float]) -> None:
-        total = sum(counts.values()) + 1.0
+        self._set(counts, sum(counts.values()) + 1.0)
+
+    @classmethod
+    def part(cls, counts: dict[str, float], total: float) -> Segmenter:
+        """With the counts of some pieces of a lexicon and its total."""
+        seg = cls.__new__(cls)
+        seg._set(counts, total)
+        return seg
+
+    def _set(self, counts: dict[str, float], total: float) -> None:
         self.cost = {w: -math.log(c / total) for w, c in counts.items()}
         self.unknown = math.log(total) + math.log(26)
         self.longest = max(map(len, counts), default=1)
@@ -79,12 +85,12 @@ class Segmenter:
 
     @classmethod
     def trained(cls, names: list[str], words: Iterable[str] = ()) -> Segmenter:
-        """Given words, and pieces of 2 to LONGEST letters in at least two of the distinct names, re-estimated by hard EM."""
+        """Given words, and pieces of 2 to LONGEST letters in at least two of the distinct names, re-estimated by hard EM. What lexicon() does, in memory."""
         given = {*COMMON, *words}
         found: Counter[str] = Counter()
         for n in names:
             found.update({n[i:j] for i in range(len(n)) for j in range(i + 2, min(len(n), i + LONGEST) + 1)})
-        counts = {w: float(c) for w, c in sorted(found.items(), key=lambda x: (-x[1] * len(x[0]), x[0]))[:LEXICON] if c >= 2}
+        counts = {w: float(c) for w, c in found.items() if c >= 2}
         counts |= {w: counts.get(w, 0.0) + 1.0 for w in given}
         for _ in range(ROUNDS):
             s, used = cls(counts), Counter()
@@ -94,17 +100,9 @@ class Segmenter:
         return cls(counts)
 
 
-def tokens(host: str, path: str, seg: Segmenter, memo: dict[str, list[str]]) -> list[str]:
-    """Words of the host's labels and tokens of the path; numbers are told by their length only."""
-    if host not in memo:
-        if len(memo) > 100_000:
-            memo.clear()
-        memo[host] = ["h:" + w for label in re.findall("[^0-9.:_-]+", host) for w in seg.split(label) if len(w) > 1]
-    return memo[host] + ["p:" + (f"#{len(t)}" if t.isdigit() else t) for t in re.findall("[^\\W_]+", path.lower())]
-
-
-def bucket(token: str) -> int:
-    return zlib.crc32(token.encode()) % BUCKETS
+def path_tokens(path: str) -> list[str]:
+    """Tokens of the path; numbers are told by their length only."""
+    return ["p:" + (f"#{len(t)}" if t.isdigit() else t) for t in re.findall("[^\\W_]+", path.lower())]
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -113,45 +111,86 @@ def parsed(pages: DataFrame) -> DataFrame:
     return d.withColumn("rule", rule_of(F.col("host"), F.col("path"), "rule")).withColumn("said", rule_of(F.col("host"), F.col("path"), "verdict"))
 
 
-def judge(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (probability of block by naive Bayes)."""
-    d = parsed(pages)
-    parts = F.explode(F.array_distinct(F.split("host", "[0-9.:_-]+"))).alias("n")
-    labels = d.select("host").distinct().select(parts).filter("n <> ''").groupBy("n").agg(F.count("*").alias("hosts"))
-    names = labels.orderBy(F.md5("n"), "n").limit(NAMES).collect()
-    seg = Segmenter.trained([r.n for r in names], [r.n for r in names if r.hosts > 1])
-
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, docs, memo = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64), {}
-        for pdf in it:
-            for host, path, said in zip(pdf["host"], pdf["path"], pdf["said"], strict=True):
-                k = CLASSES.index(said)
-                docs[k] += 1
-                for t in tokens(host, path, seg, memo):
-                    sums[k, bucket(t)] += 1
-        k, b = np.nonzero(sums)
-        yield pd.DataFrame({"k": np.r_[k, 0, 1], "b": np.r_[b, -1, -1], "n": np.r_[sums[k, b], docs]})
-
-    got = d.filter("said IS NOT NULL").select("host", "path", "said").mapInPandas(count, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toPandas()
-    sums, docs = np.zeros((2, BUCKETS)), np.zeros(2)
-    for k, b, n in got.itertuples(index=False):
-        if b < 0:
-            docs[k] = n
-        else:
-            sums[k, b] = n
-    seen = max(1, int((sums.sum(0) > 0).sum()))
-    logp = np.log((sums + 1.0) / (sums.sum(1, keepdims=True) + seen))
-    ratio = (logp[1] - logp[0]).astype(np.float32)
-    prior = math.log((docs[1] + 1.0) / (docs[0] + 1.0))
+def _pieces(labels: DataFrame, given: DataFrame) -> DataFrame:
+    """(n, w): the distinct pieces of each label, of up to LONGEST letters or given."""
+    n, at = F.col("n"), lambda last: F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    short = F.flatten(F.transform(at(F.length(n)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length(n) - i + 1)), lambda k: n.substr(i, k))))
+    out = labels.select("n", F.explode(F.array_distinct(short)).alias("w"))
+    # longer words are found by their first letters
+    head = LONGEST + 1
+    long = given.filter(F.length("w") > LONGEST).select("w", F.col("w").substr(1, head).alias("head"))
+    starts = labels.select("n", F.posexplode(F.transform(at(F.length(n) - LONGEST), lambda i: n.substr(i, F.lit(head)))).alias("i", "start"))
+    more = starts.join(small(written(long, "long-words")), F.col("start") == F.col("head")).filter(n.substr(F.col("i") + 1, F.length("w")) == F.col("w"))
+    return out.unionByName(more.select("n", "w").distinct())
+
+
+def _split(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(n, words): labels split with the pieces (n, w) they have and the counts (w, c) of the whole lexicon."""
+    total = float(counts.agg(F.sum("c")).first()[0] or 0.0) + 1.0
+    both = pairs.join(small(counts).withColumnRenamed("w", "v"), F.col("w") == F.col("v"), "left")
+    known = both.groupBy("n").agg(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("w", "c"))).alias("known"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, list[str]] = {}
         for pdf in it:
-            s = np.array([prior + float(sum(ratio[bucket(t)] for t in tokens(h, p, seg, memo))) for h, p in zip(pdf["host"], pdf["path"], strict=True)])
-            yield pdf.assign(score=1.0 / (1.0 + np.exp(-np.clip(s, -500, 500))))
+            words = [Segmenter.part({x["w"]: x["c"] for x in known}, total).split(n) for n, known in zip(pdf["n"], pdf["known"], strict=True)]
+            yield pd.DataFrame({"n": pdf["n"], "words": words})
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    out = d.mapInPandas(run, f"page_id {kind}, host string, path string, rule string, said string, score double")
+    return known.mapInPandas(run, "n string, words array<string>")
+
+
+def lexicon(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """labels: (n, hosts), distinct and written. Returns (n, w), the pieces of each label, and (w, c), the lexicon, both written."""
+    spark = labels.sparkSession
+    common = spark.createDataFrame([(w,) for w in COMMON], "w string")
+    given = written(labels.filter("hosts > 1").select(F.col("n").alias("w")).unionByName(common).distinct(), "given-words")
+    plus = given.select("w", F.lit(1.0).alias("plus"))
+    pairs = written(_pieces(labels, given), "pieces")
+    found = pairs.filter((F.length("w") > 1) & (F.length("w") <= LONGEST)).groupBy("w").agg(F.count("*").cast("double").alias("c")).filter("c >= 2")
+
+    def added(used: DataFrame) -> DataFrame:
+        every = used.join(plus, "w", "full").filter("plus IS NOT NULL OR length(w) > 1 OR c > 1")
+        return written(every.select("w", (F.coalesce("c", F.lit(0.0)) + F.coalesce("plus", F.lit(0.0))).alias("c")), "lexicon")
+
+    counts = added(found)
+    # other pieces never come into use
+    usable = small(counts).select(F.col("w").alias("v"))
+    pairs = written(pairs.join(usable, F.col("w") == F.col("v"), "left_semi").filter("length(w) > 1").unionByName(pairs.filter("length(w) = 1")), "pieces")
+    for _ in range(ROUNDS):
+        used = _split(pairs, counts).select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").cast("double").alias("c"))
+        counts = added(used)
+    return pairs, counts
+
+
+def judge(pages: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (probability of block by naive Bayes)."""
+    d = written(parsed(pages).withColumn("rid", F.monotonically_increasing_id()), "urls")
+    label = F.filter(F.split("host", "[0-9.:_-]+"), lambda x: x != "")
+    hosts = d.select("host").distinct().select("host", label.alias("all"))
+    labels = hosts.select(F.explode(F.array_distinct("all")).alias("n")).groupBy("n").agg(F.count("*").alias("hosts"))
+    words = _split(*lexicon(written(labels, "labels"))).select("n", F.filter("words", lambda w: F.length(w) > 1).alias("words"))
+    of_host = hosts.select("host", F.explode("all").alias("label")).join(small(written(words, "words")), F.col("label") == F.col("n"))
+    of_host = of_host.select("host", F.explode("words").alias("w")).groupBy("host").agg(F.collect_list(F.concat(F.lit("h:"), "w")).alias("host_tokens"))
+    of_host = written(of_host, "host-words").withColumnRenamed("host", "name")
+
+    def paths(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            yield pdf[["rid", "host", "said"]].assign(path_tokens=[path_tokens(p) for p in pdf["path"]])
+
+    t = d.select("rid", "host", "said", "path").mapInPandas(paths, "rid long, host string, said string, path_tokens array<string>")
+    t = t.join(small(of_host), F.col("host") == F.col("name"), "left")
+    none = F.array().cast("array<string>")
+    t = written(t.select("rid", "said", F.explode(F.concat(F.coalesce("host_tokens", none), "path_tokens")).alias("token")), "tokens")
+    per = [F.count(F.when(F.col("said") == c, 1)).cast("double") for c in ("allow", "block")]
+    seen = written(t.filter("said IS NOT NULL").groupBy("token").agg(per[0].alias("allow"), per[1].alias("block")), "token-counts")
+    sums = seen.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("allow"), F.lit(0.0)).alias("allow"), F.coalesce(F.sum("block"), F.lit(0.0)).alias("block")).first()
+    docs = d.agg(per[0].alias("allow"), per[1].alias("block")).first()
+    kinds = max(1, sums.kinds)
+    rest = math.log(sums.allow + kinds) - math.log(sums.block + kinds)
+    prior = math.log((docs.block + 1.0) / (docs.allow + 1.0))
+    known = small(seen).select(F.col("token").alias("known"), (F.log(F.col("block") + 1.0) - F.log(F.col("allow") + 1.0)).alias("ratio"))
+    sums_of = t.join(known, F.col("token") == F.col("known"), "left").groupBy("rid").agg(F.sum(F.coalesce("ratio", F.lit(0.0)) + F.lit(rest)).alias("s")).withColumnRenamed("rid", "r")
+    log_odds = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.lit(prior) + F.coalesce("s", F.lit(0.0))))
+    out = d.join(sums_of, F.col("rid") == F.col("r"), "left").withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds)))
     verdict = F.coalesce("said", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 

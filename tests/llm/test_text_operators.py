@@ -1,5 +1,6 @@
 """License scans, quality rules, mixing and URL filters against plain Python, with the odd cases."""
 
+import math
 import re
 from collections import Counter
 
@@ -244,3 +245,30 @@ def test_bayes_learns_the_rules(spark):
     rows += [(200, "http://elsewhere.org/buy-pills-3"), (201, "http://elsewhere.org/news/3")]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).filter("page_id >= 200").collect()}
     assert got == {200: "block", 201: "allow"}
+
+
+def test_lexicon_and_tokens_of_all_urls(spark):
+    """More labels than a sample of 20,000 and more tokens than 65,536 buckets: each label and each token counts."""
+    import random
+
+    r = random.Random(5)
+    names = {"".join(r.choice("bcdfg") + r.choice("aeiou") for _ in range(4)) for _ in range(30_000)}
+    rare = ["".join(r.choice("qxz") for _ in range(9)) for _ in range(40)]
+    rows = [f"http://{n}.com/a{i}" for i, n in enumerate(sorted(names))] + [f"http://{w}{i}.net/es/b{i}" for w in rare for i in (1, 2)]
+    rows += [f"http://x.{'com' if i % 2 else 'net/es'}/tok{i}" for i in range(70_000)]
+    rows += [f"http://{w}.org/" for w in rare] + [f"http://y.org/tok{i}" for i in range(200)]
+    got = {x.page_id: x for x in url_filter.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").repartition(8)).filter("rule IS NULL").collect()}
+    assert len(got) == 240
+    base = {x.score for x in got.values() if x.host == "y.org"}
+    assert len(base) == 2, "exact counts: one score for tokens of either class"
+    assert all(x.score > max(base) for x in got.values() if x.host != "y.org"), "each host word was learnt"
+
+
+def test_distributed_lexicon_is_the_plain_one(spark):
+    names = [a + b for a in ("blue", "green", "black", "internationalized") for b in ("cloud", "track", "press", "river", "x")] + ["internationalized", "ab"]
+    multi = {"internationalized", "ab"}
+    labels = spark.createDataFrame([(n, 1 + (n in multi)) for n in names], "n string, hosts int")
+    _, counts = url_filter.lexicon(labels)
+    plain = url_filter.Segmenter.trained(names, multi)
+    total = sum(r.c for r in counts.collect()) + 1.0
+    assert {r.w: round(-math.log(r.c / total), 9) for r in counts.collect()} == {w: round(c, 9) for w, c in plain.cost.items()}
