@@ -199,7 +199,10 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     index = index.withColumn("salt", F.pmod(F.xxhash64("vkey"), salt_of[F.col("cell")]))
 
     asked = vectors.filter(is_query).select("vec_id", "v")
-    queries = written(asked.groupBy("v").agg(F.min("vec_id").alias("qkey")), "queries")
+    # a key of its own for each vector, as an id may have several
+    queries = written(asked.select("v").distinct().withColumn("qkey", F.monotonically_increasing_id()), "queries")
+    # a query's own id may be in several rows with different vectors, all of which fall out of its neighbours
+    depth = k + (asked.distinct().groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1)
     blocks = max(1, -(-queries.count() // BLOCK))
     known = np.array(sorted(radius))
     reach = np.array([radius[c] for c in known])
@@ -226,7 +229,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     shape = "qkey long, qv array<long>, floor double, cell long, salt long"
     block = F.pmod(F.xxhash64("qkey"), F.lit(blocks)).alias("block")
     trees = index.select("v", "ids", "cell", "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    search = _searcher(dim, top2, k + 1)
+    search = _searcher(dim, top2, depth)
 
     def found(routed: DataFrame) -> DataFrame:
         by = ("cell", "salt", "block")
@@ -234,10 +237,10 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
     start = queries.select("qkey", F.col("v").alias("qv"), F.lit(None).cast("double").alias("floor"))
     one = written(found(start.mapInPandas(lambda b: route(b, False), shape)), "round-one")
-    floors = one.groupBy("qkey").agg(F.min("score").cast("double").alias("floor"), F.count("*").alias("n")).filter(F.col("n") == k + 1).select("qkey", "floor")
+    floors = one.groupBy("qkey").agg(F.min("score").cast("double").alias("floor"), F.count("*").alias("n")).filter(F.col("n") == depth).select("qkey", "floor")
     two = found(start.drop("floor").join(floors, "qkey", "left").select("qkey", "qv", "floor").mapInPandas(lambda b: route(b, True), shape))
     best = W.partitionBy("qkey").orderBy(F.col("score").desc(), "vec_id")
-    near = one.unionByName(two).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
+    near = one.unionByName(two).withColumn("n", F.row_number().over(best)).filter(F.col("n") <= depth).drop("n")
     names = asked.join(queries.select(F.col("v").alias("w"), "qkey"), F.col("v") == F.col("w")).select(F.col("vec_id").alias("query_id"), "qkey").distinct()
     own = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     out = names.join(near, "qkey").filter("vec_id <> query_id").withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k)

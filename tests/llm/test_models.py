@@ -279,6 +279,24 @@ def test_fewer_than_k(spark):
     assert mtree.top_k(mtree.quantized(df.filter("false")), F.col("vec_id") == 0).count() == 0
 
 
+def test_own_id_with_several_vectors(spark):
+    """Rows of the query's own id don't take the places of others."""
+    rows = [(0, [2.0]), (0, [1.9]), (0, [1.8])] + [(1 + i, [1.0 - i / 64]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = [(i, math.floor(64 * float(np.float32(x)))) for i, (x,) in rows]
+    pairs = sorted((-a * b, j) for i, a in v if i == 0 for j, b in v if j != 0)[:20]
+    got = sorted(tuple(z) for z in mtree.top_k(mtree.quantized(df), F.col("vec_id") == 0).collect())
+    assert got == [(0, n + 1, j, -s) for n, (s, j) in enumerate(pairs)]
+
+
+def test_own_id_fills_the_list(spark):
+    """More rows of the query's own id than places: the others still come."""
+    rows = [(0, [100.0 + i]) for i in range(25)] + [(1 + i, [1.0 + i]) for i in range(22)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = mtree.top_k(mtree.quantized(df), F.col("vec_id") == 0).collect()
+    assert len(got) == 20 and all(z.vec_id > 0 for z in got)
+
+
 def test_bounds_spare_distances():
     """On clustered vectors the tree computes far fewer scores than there are vectors."""
     r = np.random.default_rng(1)
