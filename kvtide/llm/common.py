@@ -72,9 +72,9 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def parts_for(df: DataFrame) -> int:
-    """The session's number of shuffle partitions."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def parts_for(df: DataFrame, rows: int = 0, per_part: int = 1 << 20) -> int:
+    """The session's number of shuffle partitions, or more if a partition would get over per_part of so many rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
 
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -1,27 +1,41 @@
 """SimHash near-duplicates: fingerprints in one pass, tiled exact comparison, components.
 
-1. A 64-bit fingerprint a text (Arrow batches; xxhash and numpy bit sums).
-2. Equal fingerprints become one class, whose id is its smallest doc_id. All
-   later work is on distinct fingerprints, so copies never meet as pairs.
-3. Two fingerprints within ``RADIUS`` = 3 bits agree on one of 4 blocks of 16
-   bits at least: each goes to 4 buckets. Buckets above ``BUCKET`` members go
-   on to 16 buckets each by 4 blocks of 12 of the other 48 bits, by
-   the same argument, so no link is lost. In a bucket, members sorted by
-   population count are compared tile by tile with numpy XOR and
-   bit counts; a pair of tiles whose counts differ by more than
-   the radius is skipped. A bucket emits a link from each member to the first
-   of its local component, never all pairs.
-4. Components by min-label propagation with pointer jumping, every round a
+1. A fingerprint a text (Arrow batches; xxhash and numpy bit sums), of 64 bits or of
+   ``lanes`` times 64, each lane from another mix of the shingles' hashes.
+2. Equal fingerprints become one class. All later work is on
+   distinct fingerprints, so copies never meet as pairs.
+3. Buckets. Within ``RADIUS`` = 3 of 64 bits, two fingerprints agree on one of 4
+   blocks of 16 bits at least: each goes to 4 buckets. Buckets above ``BUCKET``
+   members go on to 16 buckets each by 4 blocks of 12 of the other 48 bits, by
+   the same argument, so no link is lost. The pipeline's stage works by
+   similarity instead (below); a radius of that width leaves no whole block, so its
+   buckets are bands of ``BAND`` shingles of least (or largest) hash.
+4. In a bucket, members sorted by population count are compared tile by tile with
+   numpy XOR and bit counts; tiles whose counts differ by more than the radius are
+   skipped. A component grows from a seed, and only what it has not reached yet is
+   compared with what it reached last. A bucket emits a link from each member to the first
+   of its local component, never all pairs. Buckets above ``DEAL`` members are cut into
+   parts, and pairs of parts are dealt over tasks.
+5. Components by min-label propagation with pointer jumping, every round a
    written table; nothing is collected.
 
+The stage. Shingles of ``STAGE_WORDS`` = 5 words, a similarity of ``SIMILARITY`` = 0.8 or more.
+A bit of two SimHashes differs with probability angle / pi, and sets of
+Jaccard similarity J have a cosine of 2 J / (1 + J), so J = 0.8 is 15.15 % of the bits. With
+``LANES`` = 8, 512 bits, the estimate of J has a standard error of 0.03; the radius is two of them
+wider, so 97.7 % of pairs of J = 0.8, and half of those of 0.745, are within. Two texts of
+J = 0.8 share a band of 3 with probability 0.512, and one of 10 with 0.9992.
+
 Defined cases: null and empty texts have fingerprint 0, linked like any other;
 a null doc_id counts only if a class has no other (its id is then null);
-repeated rows each get a row; an empty table gives an empty result; only
-doc_id and text are read, other columns don't matter.
+repeated rows each get a row; an empty table gives an empty result; the query reads
+only doc_id and text, and the stage keeps other columns (its own are named
+``_keep_*``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,124 +50,212 @@ from .common import lean, parts_for, read, written
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-#: Members of a bucket above which it is refined, and of a tile.
-BUCKET, TILE, SMALL = 4096, 512, 8
+#: Of the stage: words of a shingle, least similarity, fingerprint words of 64 bits, shingles of a band, bands.
+STAGE_WORDS, SIMILARITY, LANES, BAND, BANDS = 5, 0.8, 8, 3, 10
+#: Members of a bucket above which it is refined, of a tile, of a group compared all at once, and of a part dealt to a task.
+BUCKET, TILE, SMALL, DEAL = 4096, 512, 8, 1 << 15
 #: Shingles hashed at a time, which bounds memory for very long texts.
-CHUNK = 1 << 16
-MASK = (1 << 64) - 1
+CHUNK, WIDE = 1 << 16, 1 << 13
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS, _INVERSES = (np.cumprod(np.r_[np.uint64(1), np.full(1 << 15, x, np.uint64)]) for x in (_BASE, _INVERSE))
+_BYTES = np.random.default_rng(21).integers(0, 1 << 64, 256, dtype=np.uint64)
+_LANE = np.random.default_rng(64).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The fingerprint of a text, unsigned; 0 for none."""
+def radius_of(similarity: float, bits: int) -> int:
+    """Differing bits of sets with a Jaccard similarity, and two standard errors more, so that nearly all of that similarity are within."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(p * bits + 2 * math.sqrt(p * (1 - p) * bits) + 0.5)
+
+
+def _shingles(text: str | None, size: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """The normalized text, and first and last places of its shingles, CHUNK at a time; fewer words than size are one shingle."""
     norm = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
     if not norm:
-        return 0
+        return
     gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
-    starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(norm)]
-    if len(starts) < size:
-        starts, ends = [0], [len(norm)]
-    else:
-        ends = ends[size - 1 :]
-    n, sums, h = len(ends), np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    size = min(size, len(gaps) + 1)
+    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(norm)]
+    n = len(starts) + 1 - size
     for k in range(0, n, CHUNK):
-        got = np.array([h(norm[a:b], SEED) for a, b in zip(starts[k : k + CHUNK], ends[k : k + CHUNK], strict=False)], "<u8")
-        sums += np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        m = min(CHUNK, n - k)
+        yield norm, starts[k : k + m], ends[k + size - 1 : k + size - 1 + m]
+
+
+def _bit_sums(x: np.ndarray) -> np.ndarray:
+    """How often each bit is set in each row of words, summed in bytes as long as they don't overflow."""
+    bits = np.unpackbits(np.ascontiguousarray(x, "<u8").view(np.uint8).ravel(), bitorder="little").reshape(*x.shape, 64)
+    whole = x.shape[1] // 255 * 255
+    out = bits[:, whole:].sum(1, dtype=np.uint8).astype(np.int64)
+    return out + bits[:, :whole].reshape(len(x), -1, 255, 64).sum(2, dtype=np.uint8).sum(1, dtype=np.int64) if whole else out
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """The fingerprint of a text by XXH64 of its shingles, unsigned; 0 for none."""
+    n, sums, h = 0, np.zeros((1, 64), np.int64), xxhash.xxh64_intdigest
+    for norm, starts, ends in _shingles(text, size):
+        n += len(starts)
+        sums += _bit_sums(np.array([[h(norm[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]], np.uint64))
     return int(np.packbits(2 * sums > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
-    """(doc_id, fp) with fp as a signed long, and the carried columns."""
-    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carried)]
+def _rolled(norm: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of a text from sums of its bytes' values times powers, modulo 2 ** 64."""
+    low, n = starts[0], ends[-1] - starts[0]
+    powers, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(n, x, np.uint64)]) if n >= len(y) else y for x, y in ((_BASE, _POWERS), (_INVERSE, _INVERSES)))
+    sums = np.r_[np.uint64(0), np.cumsum(_BYTES[np.frombuffer(norm, np.uint8, n, low)] * powers[:n])]
+    return (sums[ends - low] - sums[starts - low]) * inverse[starts - low]
+
+
+def wide_fingerprint(text: str | None, size: int = STAGE_WORDS, lanes: int = LANES, bands: int = BANDS, band: int = BAND) -> tuple[bytes, list[int]]:
+    """The fingerprint of lanes words, and the keys of the text's bands: shingles that are least or largest by one half of a lane."""
+    n, sums = 0, np.zeros((lanes, 64), np.int64)
+    least, most = np.full((lanes, 2), 0xFFFFFFFF, np.uint32), np.zeros((lanes, 2), np.uint32)
+    for norm, starts, ends in _shingles(text, size):
+        n += len(starts)
+        every = _rolled(norm, starts, ends)
+        for k in range(0, len(every), WIDE):
+            x = every[None, k : k + WIDE] * _LANE[:lanes, None]
+            x = (x ^ (x >> np.uint64(32))) * _LANE[lanes : 2 * lanes, None]
+            x ^= x >> np.uint64(29)
+            sums += _bit_sums(x)
+            halves = np.ascontiguousarray(np.ascontiguousarray(x, "<u8").view(np.uint32).reshape(lanes, -1, 2).transpose(0, 2, 1))
+            least, most = np.minimum(least, halves.min(2)), np.maximum(most, halves.max(2))
+    fp = np.packbits(2 * sums > n, axis=1, bitorder="little").tobytes()
+    flat = np.concatenate([least.T, most.T]).tobytes()
+    return fp, [xxhash.xxh64_intdigest(flat[4 * k * band : 4 * (k + 1) * band], k) - (1 << 63) for k in range(bands)]
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp) with fp as a signed long."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fp.view(np.int64))], ["doc_id", *carried, "fp"])
-
-    return docs.select("doc_id", "text", *carried).mapInArrow(lean(run), ", ".join([*kinds, "fp long"]))
-
-
-def _local_roots(fp: np.ndarray) -> np.ndarray:
-    """For fingerprints sorted by population count: the index of the first member of each one's component."""
-    n, pops = len(fp), np.bitwise_count(fp).astype(np.int64)
-    label = np.arange(n)
-    tiles = [(a, min(a + TILE, n)) for a in range(0, n, TILE)]
-    moved = True
-    while moved:
-        moved = False
-        for x, (a, b) in enumerate(tiles):
-            for c, d in tiles[x:]:
-                if pops[c] - pops[b - 1] > RADIUS:
-                    break
-                near = np.bitwise_count(fp[a:b, None] ^ fp[None, c:d]) <= RADIUS
-                if c == a and near.sum() == b - a or c != a and not near.any():
-                    continue
-                low = np.where(near, label[None, c:d], n).min(1)
-                if (low < label[a:b]).any():
-                    label[a:b], moved = np.minimum(label[a:b], low), True
-                low = np.where(near, label[a:b, None], n).min(0)
-                if (low < label[c:d]).any():
-                    label[c:d], moved = np.minimum(label[c:d], low), True
-        label = label[label]
-    return label
-
-
-def _links(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within equal keys, a row a member at most for large groups."""
-    order = np.lexsort((fp, np.bitwise_count(fp), key))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, fp long")
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each of a with each of b, fingerprints of one or more words."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    for k in range(a.shape[1]):
+        out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    return out
+
+
+def _local_roots(fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For fingerprints (n, words) sorted by population count: the index of the first member of each one's component."""
+    n, pops = len(fp), np.bitwise_count(fp).sum(1, dtype=np.int64)
+    root, left = np.full(n, -1), np.arange(n)  # left: not reached yet, in order of population count
+    while len(left):
+        seed = left[0]
+        root[seed], left, last = seed, left[1:], np.array([seed])
+        while len(last) and len(left):
+            reached = []
+            for a in range(0, len(last), TILE):
+                tile = last[a : a + TILE]
+                lo = np.searchsorted(pops[left], pops[tile[0]] - radius)
+                hi = np.searchsorted(pops[left], pops[tile[-1]] + radius, "right")
+                hit = np.zeros(len(left), bool)
+                for c in range(lo, hi, TILE):
+                    other = left[c : min(c + TILE, hi)]
+                    hit[c : c + len(other)] = (_distance(fp[tile], fp[other]) <= radius).any(0)
+                reached.append(left[hit])
+                left = left[~hit]
+            last = np.sort(np.concatenate(reached))
+            root[last] = seed
+    return root
+
+
+def _links(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked fingerprints (n, words) within equal keys, a row a member at most for large groups."""
+    pops = np.bitwise_count(fp).sum(1, dtype=np.int64)
+    order = np.lexsort((*fp.T, pops, key))
     key, fp = key[order], fp[order]
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     size = np.diff(cut)
     small = np.repeat(size <= SMALL, size)
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for d in range(1, min(SMALL, len(key))):  # small groups all at once, by distance in the order
-        hit = (key[d:] == key[:-d]) & small[d:] & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= RADIUS)
-        at = np.flatnonzero(hit)
-        left.append(fp[at + d])
-        right.append(fp[at])
+        at = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
+        at = at[np.bitwise_count(fp[at + d] ^ fp[at]).sum(1, dtype=np.int64) <= radius]
+        left.append(order[at + d])
+        right.append(order[at])
     for g in np.flatnonzero(size > SMALL):
-        mine = fp[cut[g] : cut[g + 1]]
-        root = _local_roots(mine)
+        mine = order[cut[g] : cut[g + 1]]
+        root = _local_roots(fp[cut[g] : cut[g + 1]], radius)
         at = np.flatnonzero(root != np.arange(len(mine)))
         left.append(mine[at])
         right.append(mine[root[at]])
-    none = np.zeros(0, np.uint64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    return np.concatenate(left), np.concatenate(right)
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's buckets: (k1, k2, fp) to links (a, b)."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    k1, k2, fp = (t.column(i).to_numpy() for i in range(3))
-    _, key = np.unique(np.stack([k1, k2], 1), axis=0, return_inverse=True)
-    a, b = _links(key.ravel(), fp.view(np.uint64))
-    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def _tiled(radius: int, words: int):
+    """A partition's buckets, (k1, k2, node, fp), to links (a, b) of nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        k1, k2, node = (t.column(i).to_numpy() for i in range(3))
+        if words == 1:
+            fp = t.column(3).to_numpy().view(np.uint64)[:, None]
+        else:
+            fp = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(-1, words)
+        order = np.lexsort((k2, k1))
+        key = np.zeros(len(k1), np.int64)
+        key[order] = np.cumsum(np.r_[False, (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)])
+        a, b = _links(key, fp, radius)
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    return run
+
+
+def _compared(buckets: DataFrame, n: int, radius: int, words: int) -> DataFrame:
+    """Links (a, b) within buckets (k1, k2, node, fp); buckets above DEAL are dealt over tasks by pairs of parts."""
+    large = written(buckets.groupBy("k1", "k2").count().filter(F.col("count") > DEAL).select(F.col("k1").alias("l1"), F.col("k2").alias("l2"), F.ceil(F.col("count") / DEAL).alias("parts")), "large-buckets")
+    if not large.isEmpty():
+        j = buckets.join(large, (F.col("k1") == F.col("l1")) & (F.col("k2") == F.col("l2")), "left")
+        mine = F.pmod(F.xxhash64("node"), F.col("parts"))
+        # a part meets every part, itself included, in a task of their own
+        pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.least(mine, q) * F.col("parts") + F.greatest(mine, q))
+        spread = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(pair))
+        buckets = j.select(F.col("k1"), F.col("k2"), "node", "fp", spread.alias("pair")).select(F.xxhash64("k1", "k2", "pair").alias("k1"), "k2", "node", "fp")
+    return buckets.repartition(n, "k1", "k2").mapInArrow(lean(_tiled(radius, words)), "a long, b long").distinct()
 
 
 def _block(fp: Column, at: Column, width: int) -> Column:
     return F.call_function("shiftrightunsigned", fp, at.cast("int")).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links between distinct fingerprints that connect all that are within the radius."""
-    n = parts_for(distinct)
+def links(classes: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints (node, fp) that connect all within RADIUS bits of 64."""
+    n = parts_for(classes, 4 * classes.count())
     four = F.array(*[F.lit(i) for i in range(4)])
-    one = distinct.select("fp", F.explode(four).alias("i"))
-    one = one.select("fp", "i", (_block(F.col("fp"), F.col("i") * 16, 16) * 4 + F.col("i")).alias("k1"))
+    one = classes.select("node", "fp", F.explode(four).alias("i"))
+    one = one.select("node", "fp", "i", (_block(F.col("fp"), F.col("i") * 16, 16) * 4 + F.col("i")).alias("k1"))
     full = one.groupBy("k1").count().filter(F.col("count") > BUCKET).select(F.col("k1").alias("hot"))
     one = one.join(full, F.col("k1") == F.col("hot"), "left")
     # the other 48 bits: those above the block come down onto it
     low = F.col("fp").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("i") * 16).cast("int")) - 1)
     high = F.call_function("shiftleft", F.when(F.col("i") == 3, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("fp"), (F.col("i") * 16 + 16).cast("int"))), (F.col("i") * 16).cast("int"))
     rest = one.withColumn("rest", low.bitwiseOR(high))
-    cold = rest.filter("hot IS NULL").select("k1", F.lit(-1).cast("long").alias("k2"), "fp")
-    fine = rest.filter("hot IS NOT NULL").select("k1", "fp", "rest", F.explode(four).alias("j"))
-    fine = fine.select("k1", (_block(F.col("rest"), F.col("j") * 12, 12) * 4 + F.col("j")).alias("k2"), "fp")
-    both = cold.unionByName(fine).repartition(n, "k1", "k2")
-    return both.mapInArrow(lean(_tiles), "a long, b long").distinct()
+    cold = rest.filter("hot IS NULL").select("k1", F.lit(-1).cast("long").alias("k2"), "node", "fp")
+    fine = rest.filter("hot IS NOT NULL").select("k1", "node", "fp", "rest", F.explode(four).alias("j"))
+    fine = fine.select("k1", (_block(F.col("rest"), F.col("j") * 12, 12) * 4 + F.col("j")).alias("k2"), "node", "fp")
+    return _compared(cold.unionByName(fine), n, RADIUS, 1)
+
+
+def similar(classes: DataFrame, similarity: float, lanes: int) -> DataFrame:
+    """(a, b): links between distinct wide fingerprints (node, fp, bands) that connect those of a similarity and a common band."""
+    n = parts_for(classes, BANDS * classes.count())
+    keyed = classes.select("node", "fp", F.posexplode("bands").alias("k2", "k1"))
+    return _compared(keyed.select("k1", F.col("k2").cast("long").alias("k2"), "node", "fp"), n, radius_of(similarity, 64 * lanes), lanes)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,15 +273,16 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def rooted(classes: DataFrame) -> DataFrame:
-    """classes, a written table of distinct fp; adds root, the same for all of a component."""
-    label = components(links(classes.select("fp")))
-    return classes.join(label, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("label", "fp"))
+def rooted(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """classes, a written table of distinct nodes; adds root, the same for all of a component."""
+    label = components(edges).withColumnRenamed("node", "ln")
+    return classes.join(label, F.col("node") == F.col("ln"), "left").withColumn("root", F.coalesce("label", "node")).drop("ln", "label")
 
 
 def near_duplicates(fps: DataFrame) -> DataFrame:
     """fps: (doc_id, fp), best a written table; adds component_id."""
-    c = rooted(written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes"))
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("node", F.col("fp")), "classes")
+    c = rooted(classes, links(classes.select("node", "fp")))
     # min over the whole component; a component is small beside the table, and its rows are pre-aggregated
     ids = c.groupBy("root").agg(F.min("rep").alias("component_id"))
     by = c.select("fp", "root").join(ids, "root").select(F.col("fp").alias("cfp"), "component_id")
@@ -192,18 +295,36 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays, of its smallest doc_id (null if it has no other). Rows are told apart by doc_id and text."""
-    d = docs.withColumn("_keep_hash", F.coalesce(F.md5("text"), F.lit("")))
-    fps = written(fingerprints(d, "_keep_hash"), "fingerprints")
+def wide_fingerprints(docs: DataFrame, size: int, lanes: int) -> DataFrame:
+    """(_keep_id, _keep_hash, fp, bands) of docs (_keep_id, _keep_hash, text)."""
+    kind = docs.schema["_keep_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [wide_fingerprint(t.as_py(), size, lanes, BANDS, BAND) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.list_(pa.int64()))], ["_keep_id", "_keep_hash", "fp", "bands"])
+
+    return docs.select("_keep_id", "_keep_hash", "text").mapInArrow(lean(run), f"_keep_id {kind}, _keep_hash string, fp binary, bands array<long>")
+
+
+def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str, size: int = STAGE_WORDS, similarity: float = SIMILARITY, lanes: int = LANES) -> DataFrame:
+    """One row of each component of texts stays, of its smallest doc_id (null if it has no other). Rows are told apart by doc_id and text.
+
+    Texts with equal fingerprints are one class, whatever their ids; two rows with the same
+    id and different texts are two documents, and so are rows without an id.
+    """
+    d = docs.withColumn("_keep_id", F.col("doc_id")).withColumn("_keep_hash", F.coalesce(F.md5("text"), F.lit("")))
+    fps = wide_fingerprints(d, size, lanes)
     # partial sums before every shuffle, so a component of any size is no skew
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_keep_hash")
-    c = rooted(written(fps.groupBy("fp").agg(F.min(row).alias("row")), "classes"))
-    keep = c.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row._keep_hash")
+    row = F.struct(F.col("_keep_id").isNull().alias("none"), F.col("_keep_id").alias("id"), F.col("_keep_hash").alias("hash"))
+    classes = fps.groupBy("fp").agg(F.min(F.struct(row.alias("row"), "bands")).alias("least"))
+    classes = written(classes.select("fp", "least.row", "least.bands").withColumn("node", F.monotonically_increasing_id()), "classes")
+    c = rooted(classes.select("node", "row"), similar(classes, similarity, lanes))
+    keep = c.groupBy("root").agg(F.min("row").alias("row")).select("row.id", "row.hash")
     # one key without nulls for the join and the window, so that texts are shuffled once
-    keyed = lambda x: x.withColumn("_keep_null", F.col("doc_id").isNull()).withColumn("_keep_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    nulls = lambda x, id_, h: x.withColumn("_keep_null", F.col(id_).isNull()).withColumn("_keep_key", F.coalesce(F.col(id_).cast("string"), F.lit(""))).withColumn("_keep_hash", F.col(h))
     key = ["_keep_null", "_keep_key", "_keep_hash"]
-    kept = keyed(d).join(keyed(keep).select(*key), key, "left_semi")
+    kept = nulls(d, "_keep_id", "_keep_hash").join(nulls(keep, "id", "hash").select(*key), key, "left_semi")
     # rows equal in doc_id and text
     first = W.partitionBy(*key).orderBy("text")
     return kept.withColumn("_keep_n", F.row_number().over(first)).filter("_keep_n = 1").select(*docs.columns)

@@ -52,10 +52,11 @@ def plain_components(ids, fps):
     return {int(x): min((i for i, y in zip(ids, lab, strict=True) if y == x and i is not None), default=None) for x in set(lab.tolist())}, lab
 
 
-@pytest.mark.parametrize("bucket", [4096, 4])
-def test_components(spark, monkeypatch, bucket):
-    """Chains, a dense cluster, far groups and random ones; with small buckets the second level is used."""
+@pytest.mark.parametrize(("bucket", "deal"), [(4096, 1 << 15), (4, 1 << 15), (4096, 7)])
+def test_components(spark, monkeypatch, bucket, deal):
+    """Chains, a dense cluster, far groups and random ones; with small buckets the second level is used, and parts are dealt over tasks."""
     monkeypatch.setattr(S, "BUCKET", bucket)
+    monkeypatch.setattr(S, "DEAL", deal)
     r = random.Random(7)
     fps = [0, 0, (1 << 64) - 1]
     x = r.getrandbits(64)
@@ -82,7 +83,7 @@ def test_tiles_agree_with_brute_force(monkeypatch):
     base = r.integers(0, 1 << 63, 6).astype(np.uint64)
     fp = np.unique(np.concatenate([base ^ (np.uint64(1) << np.uint64(k)) for k in range(0, 30, 3)]))
     fp = fp[np.argsort(np.bitwise_count(fp), kind="stable")]
-    got = S._local_roots(fp)
+    got = S._local_roots(fp[:, None])
     _, lab = plain_components(list(range(len(fp))), fp.tolist())
     assert (got == lab).all()
 
@@ -112,6 +113,64 @@ def test_distinct_documents_that_share_an_id_stay(spark):
     assert sorted((r.doc_id or 0, t.index(r.text)) for r in kept.collect()) == [(0, 0), (0, 1), (1, 2), (2, 3), (3, 4)]
 
 
+def varied(r, words, share):
+    return " ".join(f"n{r.randrange(10**6)}" if r.random() < share else w for w in words)
+
+
+def shingles(t):
+    w = t.split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("deal", [1 << 15, 5])
+def test_stage_keeps_one_of_each_component(spark, monkeypatch, deal):
+    """Against brute force over all pairs: five words, 0.8 by the wide fingerprints, and by exact similarity outside their error."""
+    monkeypatch.setattr(S, "DEAL", deal)
+    r = random.Random(11)
+    texts = []
+    for _ in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([30, 200, 600]))]
+        texts += [varied(r, words, x) for x in (0, 0.004, 0.01, 0.02, 0.05, 0.2)]
+    texts += ["", "one two", "one two", " ", "one two three"]
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    kept = {x.doc_id for x in S.stage_simhash(spark, df, "").collect()}
+    fp = np.frombuffer(b"".join(S.wide_fingerprint(t)[0] for t in texts), np.uint64).reshape(len(texts), -1)
+    near = S._distance(fp, fp) <= S.radius_of(0.8, 512)
+    lab = np.arange(len(texts))
+    while (new := np.array([lab[row].min() for row in near])).tolist() != lab.tolist():
+        lab = new
+    assert kept == {min(i for i, y in zip(ids, lab, strict=True) if y == x) for x in set(lab.tolist())}
+    sets = [shingles(t) for t in texts[:120]]
+    exact = np.array([[jaccard(a, b) for b in sets] for a in sets])
+    est = near[:120, :120]
+    assert est[exact >= 0.9].all() and not est[exact < 0.5].any() and est[exact >= 0.8].mean() > 0.97
+
+
+def test_bands_of_similar_texts_meet():
+    r = random.Random(5)
+    met = []
+    for _ in range(400):
+        a = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        b = varied(r, a, 0.021)
+        if jaccard(shingles(" ".join(a)), shingles(b)) >= 0.78:
+            met.append(any(x == y for x, y in zip(S.wide_fingerprint(" ".join(a))[1], S.wide_fingerprint(b)[1], strict=True)))
+    assert len(met) > 150 and sum(met) >= 0.995 * len(met)
+
+
+def test_wide_fingerprint_in_chunks(monkeypatch):
+    t = " ".join(f"w{i % 700}" for i in range(3000))
+    want = S.wide_fingerprint(t)
+    monkeypatch.setattr(S, "CHUNK", 11)
+    monkeypatch.setattr(S, "WIDE", 4)
+    assert S.wide_fingerprint(t) == want
+
+
 # ---- suffix dedup
 
 
