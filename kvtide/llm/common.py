@@ -67,6 +67,11 @@ def sweep(spark: SparkSession) -> int:
     return n
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """The rows as one column, ``row``, so that no name of an operator's working columns can clash with theirs; ``row.*`` brings them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, nothing else."""
     return F.translate(c, UPPER, LOWER)

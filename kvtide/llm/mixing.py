@@ -16,8 +16,8 @@ however large, meets in one task: slices are pre-aggregated map-side.
 Defined cases: null text has size 0; documents of size 0 are taken 0 times; a
 null source is a source, the last; a null doc_id is hashed as the empty text;
 repeated rows are ordered by doc_id and size and count each; an
-empty table gives an empty result; other columns are kept out of the way by
-reserved names (``_mix_*``).
+empty table gives an empty result; other columns of any name come back as they
+are (``mix`` refuses only its own ``out``).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, read, small, written
+from .common import NOT_SPACE, boxed, read, small, written
 
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -59,47 +59,54 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs with columns doc_id, source, size (long); adds source_size, target and reps, the times a document is taken."""
+def mixed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """rows: row, doc_id, source and size (long). Returns row, size, source_size, target and reps, the times a document is taken."""
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = docs.withColumn("_mix_key", key).withColumn("_mix_slice", F.substring(key, 1, SLICE_DIGITS))
-    slices = d.groupBy("source", "_mix_slice").agg(F.sum("size").alias("_mix_sum"))
-    slices = written(slices, "mix-slices")
-    goal = water_fill(slices.groupBy("source").agg(F.sum("_mix_sum").alias("source_size")), weights, max_epochs)
+    d = rows.withColumn("key", key).withColumn("slice", F.substring(key, 1, SLICE_DIGITS))
+    slices = written(d.groupBy("source", "slice").agg(F.sum("size").alias("sum")), "mix-slices")
+    goal = water_fill(slices.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, max_epochs)
     s = F.col("source_size")
     whole = F.when(s > 0, F.floor(F.col("target") / s)).otherwise(F.lit(0)).cast("long")
-    goal = goal.select("source", "source_size", "target", whole.alias("_mix_whole"), (F.col("target") - whole * s).alias("_mix_rest"))
+    goal = goal.select(F.col("source").alias("of"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * s).alias("rest"))
     # a row a source: the slice in which the wanted sum is reached, and what comes before it
-    run = W.partitionBy("source").orderBy("_mix_slice")
-    cut = slices.withColumn("_mix_before", F.sum("_mix_sum").over(run) - F.col("_mix_sum")).withColumnRenamed("source", "_mix_s")
-    cut = cut.join(goal, F.col("_mix_s").eqNullSafe(F.col("source"))).filter(F.col("_mix_before") + F.col("_mix_sum") > F.col("_mix_rest"))
-    cut = cut.groupBy("_mix_s").agg(F.min(F.struct("_mix_slice", "_mix_before")).alias("_mix_cut"))
-    per = goal.join(cut, F.col("source").eqNullSafe(F.col("_mix_s")), "left").select(F.col("source").alias("_mix_source"), "source_size", "target", "_mix_whole", "_mix_rest", F.col("_mix_cut._mix_slice").alias("_mix_at"), F.col("_mix_cut._mix_before").alias("_mix_before"))
-    j = d.join(small(written(per, "mix-goal")), F.col("source").eqNullSafe(F.col("_mix_source")))
-    inside = F.coalesce(F.col("_mix_slice") == F.col("_mix_at"), F.lit(False))
+    run = W.partitionBy("source").orderBy("slice")
+    cut = slices.withColumn("before", F.sum("sum").over(run) - F.col("sum"))
+    cut = cut.join(goal, F.col("source").eqNullSafe(F.col("of"))).filter(F.col("before") + F.col("sum") > F.col("rest"))
+    cut = cut.groupBy(F.col("source").alias("cut_of")).agg(F.min(F.struct("slice", "before")).alias("cut"))
+    per = goal.join(cut, F.col("of").eqNullSafe(F.col("cut_of")), "left").select("of", "source_size", "target", "whole", "rest", F.col("cut.slice").alias("at"), F.col("cut.before").alias("before"))
+    j = d.join(small(written(per, "mix-goal")), F.col("source").eqNullSafe(F.col("of")))
+    inside = F.coalesce(F.col("slice") == F.col("at"), F.lit(False))
     # rows of other slices aren't in the order: only a slice of each source is sorted
-    rows = W.partitionBy("source", "_mix_slice").orderBy("_mix_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    edge = j.filter(inside).withColumn("_mix_run", F.col("_mix_before") + F.sum("size").over(rows) - F.col("size"))
+    order = W.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    edge = j.filter(inside).withColumn("run", F.col("before") + F.sum("size").over(order) - F.col("size"))
     # the document at the edge goes in if that brings the sum nearer
-    edge = edge.withColumn("_mix_extra", (F.col("_mix_run") + F.col("size") / 2.0 <= F.col("_mix_rest")).cast("long")).drop("_mix_run")
-    rest = j.filter(~inside).withColumn("_mix_extra", F.coalesce(F.col("_mix_slice") < F.col("_mix_at"), F.lit(True)).cast("long"))
-    out = edge.unionByName(rest)
-    reps = F.when(F.col("size") > 0, F.least(F.col("_mix_whole") + F.col("_mix_extra"), F.lit(int(max_epochs)))).otherwise(F.lit(0)).cast("long")
-    return out.withColumn("reps", reps).drop(*[c for c in out.columns if c.startswith("_mix_")])
+    edge = edge.withColumn("extra", (F.col("run") + F.col("size") / 2.0 <= F.col("rest")).cast("long")).drop("run")
+    rest = j.filter(~inside).withColumn("extra", F.coalesce(F.col("slice") < F.col("at"), F.lit(True)).cast("long"))
+    reps = F.when(F.col("size") > 0, F.least(F.col("whole") + F.col("extra"), F.lit(int(max_epochs)))).otherwise(F.lit(0)).cast("long")
+    return edge.unionByName(rest).select("row", "size", "source_size", "target", reps.alias("reps"))
+
+
+def mix(docs: DataFrame, out: str = "mix", **how) -> DataFrame:
+    """docs with a struct of their size in words, their source's source_size and target, and reps, the times a document is taken."""
+    if out in docs.columns:
+        raise ValueError(f"there is a column {out} already")
+    return mixed(_rows(docs), **how).select("row.*", F.struct("size", "source_size", "target", "reps").alias(out))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return boxed(docs).select("row", "row.doc_id", "row.source", n_words(F.col("row.text")).alias("size"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with the fixed weights: doc_id, size, source_size, target, taken."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mix(d).select("doc_id", "size", "source_size", "target", (F.col("reps") * F.col("size")).alias("taken"))
+    d = read(spark, sf_dir, "documents").select(F.struct("doc_id").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    return mixed(d).select("row.doc_id", "size", "source_size", "target", (F.col("reps") * F.col("size")).alias("taken"))
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
-    cols = docs.columns
-    d = docs.withColumn("size", n_words(F.col("text")))
-    m = mix(d).filter(F.col("reps") > 0)
-    return m.withColumn("_mix_rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("reps")))).select(*cols)
+    m = mixed(_rows(docs)).filter(F.col("reps") > 0)
+    return m.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("reps")))).select("row.*")
 
 
 #: The same mix in SQL: the running sum in md5 order over the whole source, levels by the same closed form.

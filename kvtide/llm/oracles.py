@@ -5,7 +5,7 @@ from __future__ import annotations
 from .common import LOWER, UPPER
 from .license_rules import rules
 from .license_scan import REACH
-from .quality import MAX_REPEAT, MIN_WORDS, RATES, SPREADS, WINDOW
+from .quality import BITS, ENOUGH, MAX_REPEAT, MIN_WORDS, RATES, SPREADS, UNIT, WINDOW
 from .suffix_dedup import LENGTH
 
 
@@ -63,15 +63,20 @@ FROM d JOIN t USING (doc_id) LEFT JOIN x USING (doc_id)
 
 
 def quality_sql() -> str:
-    """The statistics, exact quartiles in place of the sketches, and the fences. On small groups the sketches hold every value."""
-    fences, ok = [], ["NOT base_failed"]
-    for r, least, most in RATES:
-        q1, q3 = (f"quantile_disc({r}, {q})" for q in (0.25, 0.75))
-        fences.append(f"greatest({q3} + {SPREADS} * ({q3} - {q1}), {least}) AS max_{r}")
-        ok.append(f"{r} <= max_{r}")
-        if most is not None:
-            fences.append(f"least({q1} - {SPREADS} * ({q3} - {q1}), {most}) AS min_{r}")
-            ok.append(f"{r} >= min_{r}")
+    """The statistics, the same sketches (counts by leading bits, added up by source, language and all), and the fences."""
+    rates = ", ".join(f"CASE WHEN {r.of} > 0 THEN ({UNIT} * {r.over}) // {r.of} ELSE 0 END AS {r.name}" for r in RATES)
+    each = ", ".join(f"('{r.name}', {r.name})" for r in RATES)
+    least = ", ".join(f"('{r.name}', {r.least})" for r in RATES)
+    tests = " UNION ALL ".join(
+        f"SELECT row_no FROM r JOIN fence f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source AND f.rate = '{r.name}' WHERE r.{r.name} > f.most" + (f" OR r.{r.name} < f.fewest" if r.below else "") for r in RATES
+    )
+
+    def quartiles(name: str, by: str) -> str:
+        keys = f"{by}, " if by else ""
+        return f"""m_{name} AS (SELECT {keys}rate, lo, hi, sum(n) AS n FROM counts GROUP BY {keys}rate, lo, hi),
+u_{name} AS (SELECT *, sum(n) OVER (PARTITION BY {keys}rate ORDER BY lo ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER (PARTITION BY {keys}rate) AS docs FROM m_{name}),
+q_{name} AS (SELECT {keys}rate, min(lo) FILTER (4 * run >= docs) AS q1, min(hi) FILTER (4 * run >= 3 * docs) AS q3 FROM u_{name} WHERE docs >= {ENOUGH} GROUP BY {keys}rate)"""
+
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, lang, source, coalesce(text, '') AS t,
              list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
@@ -80,13 +85,22 @@ m AS (SELECT row_no, i, lead(i) OVER (PARTITION BY row_no ORDER BY i) AS nxt FRO
 c AS (SELECT row_no, sum(CASE WHEN nxt IS NULL THEN {WINDOW} ELSE least({WINDOW}, nxt - i) END) AS n FROM m GROUP BY row_no),
 l AS (SELECT row_no, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) AS lines FROM d),
 s AS (SELECT d.row_no, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: len(x))), 0) AS BIGINT) AS word_chars,
-        CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
-        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+        CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(t) - len(regexp_replace(t, '[!-@\[-`{{-~]', '', 'g')) AS BIGINT) AS n_signs,
+        CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
       FROM d JOIN l USING (row_no) LEFT JOIN c USING (row_no)),
-r AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed,
-        CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_rate, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_rate,
-        CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_rate, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_length FROM s),
-f AS (SELECT lang, source, {", ".join(fences)} FROM r GROUP BY lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {" AND ".join(ok)} AS kept
-FROM r JOIN f ON r.lang IS NOT DISTINCT FROM f.lang AND r.source IS NOT DISTINCT FROM f.source
+r AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed, {rates} FROM s),
+v AS (SELECT lang, source, unnest([{each}]) AS e FROM r WHERE NOT base_failed),
+x AS (SELECT lang, source, e[1] AS rate, CAST(e[2] AS BIGINT) AS v, CAST(1 AS BIGINT) << CAST(greatest(strlen(bin(CAST(e[2] AS BIGINT))) - {BITS}, 0) AS BIGINT) AS width FROM v),
+counts AS (SELECT lang, source, rate, v // width * width AS lo, v // width * width + width - 1 AS hi, count(*) AS n FROM x GROUP BY ALL),
+{quartiles("own", "lang, source")},
+{quartiles("lang", "lang")},
+{quartiles("all", "")},
+least(rate, least) AS (VALUES {least}),
+pick AS (SELECT g.lang, g.source, least.rate, least.least, coalesce(o.q1, l.q1, a.q1) AS q1, coalesce(o.q3, l.q3, a.q3) AS q3
+  FROM (SELECT DISTINCT lang, source FROM counts) g CROSS JOIN least
+  LEFT JOIN q_own o ON o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source AND o.rate = least.rate
+  LEFT JOIN q_lang l ON l.lang IS NOT DISTINCT FROM g.lang AND l.rate = least.rate LEFT JOIN q_all a ON a.rate = least.rate),
+fence AS (SELECT lang, source, rate, q3 + {SPREADS} * greatest(q3 - q1, least) AS most, q1 - {SPREADS} * greatest(q3 - q1, least) AS fewest FROM pick),
+out AS ({tests})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND row_no NOT IN (SELECT row_no FROM out) AS kept FROM r
 """

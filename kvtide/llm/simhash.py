@@ -29,8 +29,7 @@ J = 0.8 share a band of 3 with probability 0.512, and one of 10 with 0.9992.
 Defined cases: null and empty texts have fingerprint 0, linked like any other;
 a null doc_id counts only if a class has no other (its id is then null);
 repeated rows each get a row; an empty table gives an empty result; the query reads
-only doc_id and text, and the stage keeps other columns (its own are named
-``_keep_*``).
+only doc_id and text, and the stage brings other columns of any name back.
 """
 
 from __future__ import annotations
@@ -45,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import lean, parts_for, read, written
+from .common import boxed, lean, parts_for, read, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -296,15 +295,15 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, size: int, lanes: int) -> DataFrame:
-    """(_keep_id, _keep_hash, fp, bands) of docs (_keep_id, _keep_hash, text)."""
-    kind = docs.schema["_keep_id"].dataType.simpleString()
+    """(id, hash, fp, bands) of docs (id, hash, text)."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [wide_fingerprint(t.as_py(), size, lanes, BANDS, BAND) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.list_(pa.int64()))], ["_keep_id", "_keep_hash", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in got], pa.binary()), pa.array([x for _, x in got], pa.list_(pa.int64()))], ["id", "hash", "fp", "bands"])
 
-    return docs.select("_keep_id", "_keep_hash", "text").mapInArrow(lean(run), f"_keep_id {kind}, _keep_hash string, fp binary, bands array<long>")
+    return docs.select("id", "hash", "text").mapInArrow(lean(run), f"id {kind}, hash string, fp binary, bands array<long>")
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str, size: int = STAGE_WORDS, similarity: float = SIMILARITY, lanes: int = LANES) -> DataFrame:
@@ -313,18 +312,18 @@ def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str, size: int =
     Texts with equal fingerprints are one class, whatever their ids; two rows with the same
     id and different texts are two documents, and so are rows without an id.
     """
-    d = docs.withColumn("_keep_id", F.col("doc_id")).withColumn("_keep_hash", F.coalesce(F.md5("text"), F.lit("")))
-    fps = wide_fingerprints(d, size, lanes)
+    d = boxed(docs).select("row", F.col("row.doc_id").alias("id"), F.coalesce(F.md5("row.text"), F.lit("")).alias("hash"))
+    fps = wide_fingerprints(d.select("id", "hash", "row.text"), size, lanes)
     # partial sums before every shuffle, so a component of any size is no skew
-    row = F.struct(F.col("_keep_id").isNull().alias("none"), F.col("_keep_id").alias("id"), F.col("_keep_hash").alias("hash"))
-    classes = fps.groupBy("fp").agg(F.min(F.struct(row.alias("row"), "bands")).alias("least"))
-    classes = written(classes.select("fp", "least.row", "least.bands").withColumn("node", F.monotonically_increasing_id()), "classes")
-    c = rooted(classes.select("node", "row"), similar(classes, similarity, lanes))
-    keep = c.groupBy("root").agg(F.min("row").alias("row")).select("row.id", "row.hash")
+    least = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    classes = fps.groupBy("fp").agg(F.min(F.struct(least.alias("least"), "bands")).alias("m"))
+    classes = written(classes.select("fp", "m.least", "m.bands").withColumn("node", F.monotonically_increasing_id()), "classes")
+    c = rooted(classes.select("node", "least"), similar(classes, similarity, lanes))
+    keep = c.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.hash")
     # one key without nulls for the join and the window, so that texts are shuffled once
-    nulls = lambda x, id_, h: x.withColumn("_keep_null", F.col(id_).isNull()).withColumn("_keep_key", F.coalesce(F.col(id_).cast("string"), F.lit(""))).withColumn("_keep_hash", F.col(h))
-    key = ["_keep_null", "_keep_key", "_keep_hash"]
-    kept = nulls(d, "_keep_id", "_keep_hash").join(nulls(keep, "id", "hash").select(*key), key, "left_semi")
+    keyed = lambda x: x.withColumn("none", F.col("id").isNull()).withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    key = ["none", "id", "hash"]
+    kept = keyed(d).join(keyed(keep).select(*key), key, "left_semi")
     # rows equal in doc_id and text
-    first = W.partitionBy(*key).orderBy("text")
-    return kept.withColumn("_keep_n", F.row_number().over(first)).filter("_keep_n = 1").select(*docs.columns)
+    first = W.partitionBy(*key).orderBy("row.text")
+    return kept.withColumn("n", F.row_number().over(first)).filter("n = 1").select("row.*")

@@ -27,7 +27,7 @@ cases: null text is empty; a null doc_id comes before all others; rows that
 repeat doc_id and text are one document, so each gets the same result; rows
 that repeat only doc_id are ordered by the hash of their text; texts under 100
 bytes keep everything; an empty table gives an empty result; other columns
-are kept by ``deduplicated`` (its own are named ``_sa_*``).
+of any name are brought back by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ HOT = 1 << 16
 #: Windows of a text worked on at a time, which bounds memory for very long texts.
 CHUNK = 1 << 20
 NULL_ID = -(1 << 63)
+#: Bytes of text that make a run, about.
+RUN_BYTES = 32
 
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -179,11 +181,15 @@ def _settled(rows: list) -> list[tuple]:
     return out
 
 
+def _bytes(keyed: DataFrame) -> int:
+    return keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Repeats and edges among the runs of documents (_sa_d, _sa_h, text)."""
     spark = keyed.sparkSession
     a = keyed.select(F.col("_sa_d").alias("d"), F.col("_sa_h").alias("h"), "text").mapInArrow(lean(_run_rows), RUN)
-    ranged = a.repartitionByRange(parts_for(keyed), "m", "span", "d", "h", "s")
+    ranged = a.repartitionByRange(parts_for(keyed, _bytes(keyed) // RUN_BYTES), "m", "span", "d", "h", "s")
     out = written(ranged.mapInArrow(lean(_bucket), f"kind string, bucket long, alone boolean, {RUN}"), "runs")
     ends = out.filter(F.col("kind").isin("f", "t", "z")).collect()  # three rows a bucket at most
     more = spark.createDataFrame(_settled(ends), f"kind string, {RUN}")
@@ -317,23 +323,46 @@ def cuts(keyed: DataFrame, hot: int | None = None) -> DataFrame:
     return lists
 
 
+def _own_repeats(text: bytes) -> Iterator[np.ndarray]:
+    """Starts of windows that also start earlier in the text, by their hashes; a share of the hashes at a time, which bounds memory for very long texts."""
+    n = len(text) - LENGTH + 1
+    shares = max(1, -(-n // (4 * CHUNK)))
+    for share in range(shares):
+        w, at = [], []
+        for a in range(0, n, CHUNK):
+            h = _hashes(np.frombuffer(text, np.uint8, min(CHUNK + LENGTH - 1, len(text) - a), a))[1]
+            mine = np.arange(len(h)) if shares == 1 else np.flatnonzero(h % np.uint64(shares) == share)
+            w.append(h[mine])
+            at.append((mine + a).astype(np.uint32 if n < 1 << 32 else np.int64))
+        h, place = (x[0] if len(x) == 1 else np.concatenate(x) for x in (w, at))
+        del w, at
+        plain = np.sort(h)
+        if (plain[1:] == plain[:-1]).any():
+            del plain
+            o = np.argsort(h, kind="stable")
+            yield np.sort(place[o[1:][h[o][1:] == h[o][:-1]]].astype(np.int64))
+
+
 def kept_bytes(text: bytes, cut: list[tuple[int, int]]) -> tuple[bytes, int]:
     """What is left of a text without the intervals and without windows that it repeats itself, and the number of maximal removed runs."""
     if len(text) < LENGTH:
         return text, 0
-    step = np.zeros(len(text) + 1, np.int32)
-    for a, b in cut:
-        step[a] += 1
-        step[b] -= 1
-    w = np.concatenate([_hashes(np.frombuffer(text[at : at + CHUNK + LENGTH - 1], np.uint8))[1] for at in range(0, len(text) - LENGTH + 1, CHUNK)])
-    plain = np.sort(w)
-    if (plain[1:] == plain[:-1]).any():
-        o = np.argsort(w, kind="stable")
-        again = o[1:][w[o][1:] == w[o][:-1]]
-        np.add.at(step, again, 1)
-        np.add.at(step, again + LENGTH, -1)
-    gone = np.cumsum(step[:-1]) > 0
-    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+    spans = [(a, b) for a, b in cut]
+    for again in _own_repeats(text):
+        new = np.flatnonzero(np.r_[True, again[1:] > again[:-1] + LENGTH])
+        spans += zip(again[new].tolist(), (again[np.r_[new[1:], len(again)] - 1] + LENGTH).tolist(), strict=True)
+    left, runs, at, end = [], 0, 0, -1
+    for a, b in sorted(spans):
+        if a > end:
+            left.append(text[at:a])
+            runs += 1
+        at = end = max(end, b)
+    left.append(text[at:])
+    return b"".join(left), runs
+
+
+def _pairs(cuts: pa.Scalar) -> list[tuple[int, int]]:
+    return [(x["a"], x["b"]) for x in cuts.as_py() or ()]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -360,7 +389,7 @@ def digest(d: DataFrame) -> DataFrame:
             rows = []
             for t, c in zip(b.column(1), b.column(2), strict=True):
                 t = _encoded(t)
-                kept, spans = kept_bytes(t, [(x["a"], x["b"]) for x in c.as_py() or ()])
+                kept, spans = kept_bytes(t, _pairs(c))
                 rows.append((len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -370,21 +399,22 @@ def digest(d: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with what is left of each text (halves of characters at the cuts go too) and, if there, its n_chars."""
-    d = with_cuts(docs)
     cols = docs.columns
-    names = [*cols, "_sa_cuts"]
-    at = cols.index("text")
+    rest = F.struct(*[F.col(f"`{c}`") for c in cols if c != "text"]).alias("row")
+    d = with_cuts(docs.select(rest, "doc_id", "text")).select("row", "text", "_sa_cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left = []
-            for t, c in zip(b.column(at), b.column(len(cols)), strict=True):
-                left.append(kept_bytes(_encoded(t), [(x["a"], x["b"]) for x in c.as_py() or ()])[0].decode("utf-8", "ignore") if t.is_valid else None)
-            out = [pa.array(left, b.schema.field(at).type) if i == at else b.column(i) for i in range(len(cols))]
-            yield pa.RecordBatch.from_arrays(out, cols)
-
-    out = d.select(*names).mapInArrow(lean(run), docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in cols else out
+            for t, c in zip(b.column(1), b.column(2), strict=True):
+                left.append(kept_bytes(_encoded(t), _pairs(c))[0].decode("utf-8", "ignore") if t.is_valid else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(left, b.schema.field(1).type)], ["row", "text"])
+
+    out = d.mapInArrow(lean(run), d.drop("_sa_cuts").schema)
+    back = {c: F.col(f"row.`{c}`") for c in cols if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in cols:
+        back["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[back[c].alias(c) for c in cols])
 
 
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
