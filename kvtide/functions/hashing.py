@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _C1, _C2 = np.uint32(0xCC9E2D51), np.uint32(0x1B873593)
@@ -18,13 +18,22 @@ def _rotated(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def murmur3_32(keys: Iterable[bytes], seed: int | np.ndarray = 0) -> np.ndarray:
-    """Signed 32-bit hashes. Keys are processed four bytes at a time, all together."""
+    """Signed 32-bit hashes, four bytes at a time. Keys of about the same length go together, so that one long key costs only itself."""
     keys = list(keys)
     size = np.array([len(k) for k in keys], np.int64)
+    seeds = np.broadcast_to(np.asarray(seed).astype(np.int64).astype(np.uint32), (len(keys),))
+    out = np.zeros(len(keys), np.int32)
+    group = np.ceil(np.log2(size + 1)).astype(np.int64)
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        for k in range(0, len(at), some := max(1, (1 << 24) >> int(g))):
+            mine = at[k : k + some]
+            out[mine] = _murmur([keys[i] for i in mine], size[mine], seeds[mine].copy())
+    return out
+
+
+def _murmur(keys: list[bytes], size: np.ndarray, h: np.ndarray) -> np.ndarray:
     n, most = len(keys), int(size.max(initial=0))
-    h = np.broadcast_to(np.asarray(seed).astype(np.int64).astype(np.uint32), (n,)).copy()
-    if not n:
-        return h.view(np.int32)
     words = -(-most // 4) + 1
     raw = np.zeros((n, words * 4), np.uint8)
     nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -32,7 +41,13 @@ def murmur3_32(keys: Iterable[bytes], seed: int | np.ndarray = 0) -> np.ndarray:
     k = raw.view("<u4").astype(np.uint32) * _C1
     k = _rotated(k, 15) * _C2
     full = size // 4
-    for i in range(words):
+    if n == 1:  # a long key alone: its words one after the other
+        x = int(h[0])
+        for w in k[0, : full[0]].tolist():
+            x ^= w
+            x = (((x << 13) & 0xFFFFFFFF | x >> 19) * 5 + 0xE6546B64) & 0xFFFFFFFF
+        h = np.array([x], np.uint32)
+    for i in range(words if n > 1 else 0):
         on = full > i
         h = np.where(on, _rotated(h ^ k[:, i], 13) * np.uint32(5) + np.uint32(0xE6546B64), h)
     # bytes after the last full word are zero, so the tail's product is zero for none
@@ -102,26 +117,39 @@ class BloomFilter:
         return out
 
 
+#: Words of a filter that travel as a row.
+_PIECE = 1 << 13
+
+
 def build_bloom(keys: DataFrame, expected: int, fpp: float = 0.01, key: str = "key") -> BloomFilter:
-    """A filter over all keys of a frame: one of the same size for each partition, or-ed on the driver (its size is set by expected)."""
+    """A filter over all keys of a frame. Each partition sends only the pieces it touched; equal pieces are or-ed by tasks, and the driver gets one of each."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b = BloomFilter(expected, fpp)
         for pdf in it:
             b.add([bytes(x) for x in pdf[key]])
-        yield pd.DataFrame({"b": [b.to_bytes()]})
+        for k in range(0, len(b.words), _PIECE):
+            if (w := b.words[k : k + _PIECE]).any():
+                yield pd.DataFrame({"piece": [k], "w": [w.view(np.int64)]})
 
     out = BloomFilter(expected, fpp)
-    for r in keys.select(key).mapInPandas(run, "b binary").toLocalIterator():
-        out.union(BloomFilter.from_bytes(bytes(r.b)))
+    pieces = keys.select(key).mapInPandas(run, "piece long, w array<long>")
+    at = pieces.select("piece", F.posexplode("w").alias("i", "x")).filter("x <> 0").groupBy("piece", "i").agg(F.bit_or("x").alias("x"))
+    whole = at.groupBy("piece").agg(F.collect_list(F.struct("i", "x")).alias("w"))
+    for r in whole.toLocalIterator():
+        for i, x in r.w:
+            out.words[r.piece + i] = np.int64(x).astype(np.uint64)
     return out
 
 
 def might_contain(bloom: BloomFilter, col: Column) -> Column:
-    """Whether a filter may have a key."""
+    """Whether a filter may have a key. The filter is broadcast, 256 MiB at most by its number of bits."""
+    shared = SparkSession.active().sparkContext.broadcast(bloom.to_bytes())
 
     @F.pandas_udf("boolean")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(bloom.might_contain([bytes(x) for x in s]), index=s.index)
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        b = BloomFilter.from_bytes(shared.value)
+        for s in it:
+            yield pd.Series(b.might_contain([bytes(x) for x in s]), index=s.index)
 
     return run(col)

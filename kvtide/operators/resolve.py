@@ -76,10 +76,14 @@ def scan(log: DataFrame, lo: bytes | str | None = None, hi: bytes | str | None =
     return out if limit is None else out.limit(limit)
 
 
-def scan_prefix(log: DataFrame, prefix: bytes, max_seq: int | None = None, as_of_ms: int | None = None) -> DataFrame:
-    """Live entries whose key starts with a prefix, as a range that the scan can use."""
-    head = prefix.rstrip(b"\xff")
-    hi = head[:-1] + bytes([head[-1] + 1]) if head else None
+def scan_prefix(log: DataFrame, prefix: bytes | str, max_seq: int | None = None, as_of_ms: int | None = None) -> DataFrame:
+    """Live entries whose key starts with a prefix, as a range that the scan can use. Keys are strings if the prefix is one."""
+    if isinstance(prefix, str):  # the last code point that can be raised, past the surrogates
+        head = prefix.rstrip("\U0010ffff")
+        hi = head[:-1] + chr(0xE000 if ord(head[-1]) == 0xD7FF else ord(head[-1]) + 1) if head else None
+    else:
+        head = prefix.rstrip(b"\xff")
+        hi = head[:-1] + bytes([head[-1] + 1]) if head else None
     return scan(log, prefix, hi, max_seq, as_of_ms)
 
 
@@ -137,13 +141,21 @@ def validity(log: DataFrame, key: str = "key") -> DataFrame:
     return log.withColumn("until", F.lead("seq").over(w))
 
 
-def range_join(points: DataFrame, intervals: DataFrame, at: str, lo: str, hi: str, width: int) -> DataFrame:
-    """Points in half-open intervals [lo, hi), of two frames without common columns.
+def range_join(points: DataFrame, intervals: DataFrame, at: str, lo: str, hi: str) -> DataFrame:
+    """Points in half-open intervals [lo, hi) of whole numbers, of two frames without common columns.
 
-    An interval goes to every bucket of the given width that it meets, so the join is by
-    bucket and not a product. The width should be near the usual length of an interval.
+    An interval goes to the buckets that it meets at the level whose width (a power of 8) is the first
+    that isn't below its length, two at most; a point goes to its bucket of every level that any interval
+    uses. So the join is by level and bucket, linear in both, however long intervals are.
     """
-    bucket = lambda c: F.floor(c / F.lit(width))
-    spread = intervals.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(lo)), bucket(F.col(hi) - 1))))
-    p = points.withColumn("_bucket", bucket(F.col(at)))
-    return p.join(spread, "_bucket").filter((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_bucket")
+    size = F.col(hi) - F.col(lo)
+    width = lambda level: F.expr(f"shiftleft(1L, CAST(3 * {level} AS INT))")
+    level = F.ceil(F.log2(F.greatest(size, F.lit(1)).cast("double")) / 3).cast("int")
+    i = intervals.filter(size > 0).withColumn("_level", level)
+    levels = [r[0] for r in i.select("_level").distinct().collect()]  # 22 at most, as a long has 64 bits
+    first, last = F.floor(F.col(lo) / width("_level")), F.floor((F.col(hi) - 1) / width("_level"))
+    spread = i.withColumn("_bucket", F.explode(F.sequence(first, last)))
+    p = points.withColumn("_p_level", F.explode(F.array(*[F.lit(x).cast("int") for x in levels]) if levels else F.array().cast("array<int>")))
+    p = p.withColumn("_p_bucket", F.floor(F.col(at) / width("_p_level")))
+    j = p.join(spread, (F.col("_p_level") == F.col("_level")) & (F.col("_p_bucket") == F.col("_bucket")))
+    return j.filter((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_level", "_bucket", "_p_level", "_p_bucket")

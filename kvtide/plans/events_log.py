@@ -6,6 +6,8 @@ seven days. The same log is written in SQL for the oracle.
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import commands
 from ..functions import hashing, text
 from ..operators import compaction as C
 from ..operators import mutations as M
 from ..operators import resolve as R
 from ..schema import deadline, is_expired, is_tombstone, op_name
+from ..sources import sst, wal
 from ..sources.table import KVTable
 
 AS_OF = 1_706_572_800_000  # 2024-01-30 in UTC
@@ -132,7 +136,7 @@ def kv_scan_limit(spark, sf):
 
 @query(_scan_sql("key LIKE 'user:00001%'"))
 def kv_scan_prefix(spark, sf):
-    return R.resolve(event_log(spark, sf).filter(F.col("key").startswith("user:00001")), as_of_ms=AS_OF).select(*_KVS)
+    return R.scan_prefix(event_log(spark, sf), "user:00001", as_of_ms=AS_OF).select(*_KVS)
 
 
 @query(_scan_sql(rest="ORDER BY key DESC LIMIT 5"))
@@ -270,42 +274,54 @@ def kv_compact_drop(spark, sf):
     return C.merged(event_log(spark, sf), SNAP, AS_OF, True).select("key", "seq", "op")
 
 
-_RUN_SQL = "runs AS (SELECT seq // 250 AS run, count(*) AS entries, min(key) AS min_key, max(key) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq FROM log WHERE seq % 97 < 3 GROUP BY 1)"
+_RUN_SQL = "runs AS (SELECT seq // 1000 * 1000 + CAST(substr(key, 6) AS BIGINT) // 50 AS run, count(*) AS entries, min(key) AS min_key, max(key) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq FROM log GROUP BY 1)"
 
 
 def _runs(spark, sf) -> DataFrame:
-    log = event_log(spark, sf).filter("seq % 97 < 3").withColumn("run", F.floor(F.col("seq") / 250))
+    """The whole log as runs of a thousand commits and fifty users, with what a file's metadata says."""
+    user = F.substring("key", 6, 6).cast("long")
+    log = event_log(spark, sf).withColumn("run", F.floor(F.col("seq") / 1000) * 1000 + F.floor(user / 50))
     return log.groupBy("run").agg(F.count("*").alias("entries"), F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
 
 
-@query(_sql("SELECT * FROM runs", _RUN_SQL))
-def kv_run_stats(spark, sf):
-    return _runs(spark, sf)
-
-
-@query(_sql("SELECT a.run AS a_run, b.run AS b_run FROM runs a JOIN runs b ON a.run % 2 = 0 AND b.run % 2 = 1 AND a.min_key <= b.max_key AND a.max_key >= b.min_key", _RUN_SQL))
+@query(_sql("SELECT a.run AS a_run, b.run AS b_run FROM runs a JOIN runs b ON a.run // 1000 % 2 = 0 AND b.run // 1000 % 2 = 1 AND a.min_key <= b.max_key AND a.max_key >= b.min_key", _RUN_SQL))
 def kv_overlap_pick(spark, sf):
     r = _runs(spark, sf)
-    return C.overlap_join(r.filter("run % 2 = 0"), r.filter("run % 2 = 1")).select("a_run", "b_run")
+    odd = F.floor(F.col("run") / 1000) % 2
+    return C.overlap_join(r.filter(odd == 0), r.filter(odd == 1)).select("a_run", "b_run")
 
 
 @query(_sql(f"SELECT run FROM runs WHERE min_key <= '{HI}' AND max_key >= '{LO}'", _RUN_SQL))
 def kv_file_prune(spark, sf):
-    return _runs(spark, sf).filter((F.col("min_key") <= HI) & (F.col("max_key") >= LO)).select("run")
+    """Which files a read of a range must open, by their metadata: a row a file, as a commit log holds them."""
+    metas = [C.FileMeta(str(r.run), 0, r.entries, 0, r.min_key.encode().hex(), r.max_key.encode().hex(), r.min_seq, r.max_seq) for r in _runs(spark, sf).collect()]
+    kept = [(int(f.path),) for f in metas if f.overlaps(LO.encode().hex(), HI.encode().hex())]
+    return spark.createDataFrame(kept, "run long")
 
 
 def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kvtide-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="kvtide-")
     return f"{root.rstrip('/')}/kv-{uuid.uuid4().hex}"
 
 
-def _table(spark: SparkSession, sf: str, slices: int = 5) -> KVTable:
-    """The event log committed to a table in slices, in the order of seq."""
-    log = event_log(spark, sf).withColumn("n", F.col("seq")).withColumn("key", F.encode("key", "UTF-8")).withColumn("value", F.encode("value", "UTF-8")).drop("seq")
-    t = KVTable(spark, _scratch(spark), C.Options(l0_files=3))
-    n = events(spark, sf).count()
-    for i in range(slices):
+def _bytes_log(spark: SparkSession, sf: str) -> DataFrame:
+    log = event_log(spark, sf).withColumn("n", F.col("seq"))
+    return log.withColumn("key", F.encode("key", "UTF-8")).withColumn("value", F.encode("value", "UTF-8"))
+
+
+def _fill(t: KVTable, spark: SparkSession, sf: str, first: int, last: int, slices: int = 5) -> None:
+    log, n = _bytes_log(spark, sf).drop("seq"), events(spark, sf).count()
+    for i in range(first, last):
         t.append(log.filter((F.col("n") > n * i // slices) & (F.col("n") <= n * (i + 1) // slices)), "n")
+
+
+def _table(spark: SparkSession, sf: str, upto: int = 5) -> KVTable:
+    """The event log committed to a table in five slices, in the order of seq."""
+    t = KVTable(spark, _scratch(spark), C.Options(l0_files=3, l0_stop=1 << 20))
+    _fill(t, spark, sf, 0, upto)
     return t
 
 
@@ -350,10 +366,29 @@ def kv_memtable_bytes(spark, sf):
     return R.latest_versions(event_log(spark, sf)).agg(F.sum(72 + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long").alias("bytes"), F.count("*").alias("entries"))
 
 
-@query(_sql("SELECT CAST(seq % 3 AS INTEGER) AS level, count(DISTINCT seq // 250) AS files, count(*) AS rows, CAST(sum(strlen(key) + coalesce(strlen(value), 0) + 32) AS BIGINT) AS bytes FROM log GROUP BY 1"))
+@query(_sql("SELECT (seq - 1) * 5 // (SELECT count(*) FROM log) AS run, CAST(count(*) AS BIGINT) AS entries, min(key) AS min_key, max(key) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq FROM log GROUP BY 1"))
+def kv_run_stats(spark, sf):
+    """Entries, keys and sequence numbers of the files of each of five commits, from the commit log."""
+    t = _table(spark, sf)
+    n = t.version().max_seq
+    f = t.files().withColumn("run", F.floor((F.col("min_seq") - 1) * 5 / n))
+    by = f.groupBy("run").agg(F.sum("rows").alias("entries"), F.min("min_key").alias("lo"), F.max("max_key").alias("hi"), F.min("min_seq").alias("min_seq"), F.max("max_seq").alias("max_seq"))
+    return by.select("run", "entries", text.to_utf8(F.col("lo")).alias("min_key"), text.to_utf8(F.col("hi")).alias("max_key"), "min_seq", "max_seq")
+
+
+@query(_sql("SELECT CAST(CASE WHEN (seq - 1) * 5 // (SELECT count(*) FROM log) < 3 THEN 1 ELSE 0 END AS INTEGER) AS level, CAST(count(*) AS BIGINT) AS rows, true AS has_files, true AS has_bytes FROM log GROUP BY 1"))
 def kv_level_bytes(spark, sf):
-    log = event_log(spark, sf).withColumn("level", (F.col("seq") % 3).cast("int"))
-    return log.groupBy("level").agg(F.countDistinct(F.floor(F.col("seq") / 250)).alias("files"), F.count("*").alias("rows"), F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 32).cast("long").alias("bytes"))
+    """Three commits compacted into level 1, two more in level 0."""
+    t = _table(spark, sf, upto=3)
+    t.compact()
+    _fill(t, spark, sf, 3, 5)
+    return t.levels().select("level", "rows", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query(_sql("SELECT 'writes' AS name, CAST(count(*) AS BIGINT) AS n FROM log UNION ALL SELECT 'deletes', CAST(count(*) FILTER (op = 2) AS BIGINT) FROM log UNION ALL SELECT 'last_seq', CAST(max(seq) AS BIGINT) FROM log UNION ALL SELECT 'l1_files_none', CAST(0 AS BIGINT)"))
+def kv_metrics(spark, sf):
+    m = _table(spark, sf).metrics()
+    return spark.createDataFrame([("writes", m["writes"]), ("deletes", m["deletes"]), ("last_seq", m["last_seq"]), ("l1_files_none", m["l1_files"])], "name string, n long")
 
 
 @query(_sql("SELECT op, CASE op WHEN 1 THEN 'PUT' ELSE 'DELETE' END AS name, count(*) AS n FROM log GROUP BY 1, 2"))
@@ -364,26 +399,172 @@ def kv_op_counts(spark, sf):
 # ---- functions
 
 
-@query()
+_CRC_SQL = """WITH RECURSIVE k AS (SELECT event_id + 1 AS seq, 'user:' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key FROM events),
+c(key, i, x) AS (SELECT DISTINCT key, 0, CAST(4294967295 AS BIGINT) FROM k UNION ALL
+  SELECT key, i + 1, CASE WHEN y % 2 = 1 THEN xor(y // 2, CAST(3988292384 AS BIGINT)) ELSE y // 2 END
+  FROM (SELECT key, i, CASE WHEN i % 8 = 0 THEN xor(x, CAST(ascii(substr(key, i // 8 + 1, 1)) AS BIGINT)) ELSE x END AS y FROM c WHERE i < 8 * strlen(key)))
+SELECT k.seq, xor(c.x, CAST(4294967295 AS BIGINT)) AS crc FROM k JOIN c ON c.key = k.key AND c.i = 8 * strlen(k.key)"""
+
+
+@query(_CRC_SQL)
 def kv_crc32(spark, sf):
     return event_log(spark, sf).select("seq", hashing.crc32(F.encode("key", "UTF-8")).alias("crc"))
 
 
-@query()
+def _murmur_sql() -> str:
+    """The hash of keys of eleven bytes, step by step: two words and a tail of three bytes."""
+    wrap = lambda x: f"(({x}) % 4294967296)"
+    turn = lambda x, n: f"({wrap(f'{x} * {1 << n}')} + {x} // {1 << (32 - n)})"
+    byte = lambda i: f"CAST(ascii(substr(key, {i}, 1)) AS HUGEINT)"
+    word = lambda at, n: " + ".join(f"{byte(at + j)} * {256**j}" for j in range(n))
+    steps = ["s0 AS (SELECT seq, key, CAST(0 AS HUGEINT) AS h FROM log)"]
+    for i, (at, n) in enumerate(((1, 4), (5, 4), (9, 3))):
+        steps.append(f"a{i} AS (SELECT seq, key, h, {wrap(f'({word(at, n)}) * 3432918353')} AS k FROM s{i})")
+        steps.append(f"b{i} AS (SELECT seq, key, xor(h, {wrap(f'{turn(chr(107), 15)} * 461845907')}) AS h FROM a{i})")
+        after = wrap(f"{turn('h', 13)} * 5 + 3864292196") if n == 4 else "xor(h, CAST(11 AS HUGEINT))"
+        steps.append(f"s{i + 1} AS (SELECT seq, key, {after} AS h FROM b{i})")
+    for i, (shift, by) in enumerate(((16, 2246822507), (13, 3266489909), (16, 1))):
+        steps.append(f"s{i + 4} AS (SELECT seq, key, {wrap(f'xor(h, h // {1 << shift}) * {by}')} AS h FROM s{i + 3})")
+    return _sql("SELECT seq, CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS hash FROM s6", *steps)
+
+
+@query(_murmur_sql())
 def kv_murmur3(spark, sf):
     return event_log(spark, sf).select("seq", hashing.murmur3(F.encode("key", "UTF-8")).alias("hash"))
 
 
-@query()
+@query("SELECT present, count(*) AS n, true AS as_promised FROM orders, (VALUES (true), (false)) v(present) GROUP BY present")
 def kv_bloom_fpr(spark, sf):
-    """Hits among keys that are in the filter (all) and among others (about one in a hundred)."""
+    """All keys that are in the filter hit it, and at most 3 in 100 of others do."""
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("string").cast("binary").alias("key"))
     n = o.count()
     b = hashing.build_bloom(o, n)
     others = o.select(F.concat(F.lit("x"), F.col("key").cast("string")).cast("binary").alias("key"))
     both = o.select("key", F.lit(True).alias("present")).unionByName(others.select("key", F.lit(False).alias("present")))
     hit = hashing.might_contain(b, F.col("key"))
-    return both.withColumn("hit", hit).groupBy("present").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"))
+    sums = both.withColumn("hit", hit).groupBy("present").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"))
+    return sums.select("present", "n", F.when(F.col("present"), F.col("hits") == F.col("n")).otherwise(F.col("hits") * 100 <= F.col("n") * 3).alias("as_promised"))
+
+
+@query("SELECT k, CAST(row_number() OVER (ORDER BY unhex(k)) AS INTEGER) AS place FROM (SELECT DISTINCT printf('%04X', event_id * 7919 % 65536) AS k FROM events UNION SELECT DISTINCT printf('%02X', event_id % 256) FROM events)")
+def kv_byte_order(spark, sf):
+    """Keys in unsigned byte order, shorter ones first."""
+    e = events(spark, sf)
+    k = e.select(F.format_string("%04X", F.col("event_id") * 7919 % 65536).alias("k")).union(e.select(F.format_string("%02X", F.col("event_id") % 256))).distinct()
+    return k.select("k", F.row_number().over(W.orderBy(F.unhex("k"))).alias("place"))
+
+
+# ---- files of the binary formats
+
+
+_LAST_ROWS = _sql("SELECT key, coalesce(value, '') AS value, seq, op, expires_at_ms FROM h", _last(MAX, "h"))
+
+
+def _texts(df: DataFrame) -> DataFrame:
+    return _strings_of(df).select("key", F.coalesce("value", F.lit("")).alias("value"), "seq", "op", "expires_at_ms")
+
+
+def _strings_of(df: DataFrame) -> DataFrame:
+    return df.withColumn("key", text.to_utf8(F.col("key"))).withColumn("value", text.to_utf8(F.col("value")))
+
+
+def _sst_files(spark, sf, codec: str = "lz4") -> str:
+    path = _scratch(spark)
+    sst.write_sst(R.latest_versions(_bytes_log(spark, sf)), path, 4, codec)
+    return path
+
+
+@query(_LAST_ROWS)
+def kv_sst_scan(spark, sf):
+    """The newest versions as compressed table files, read back."""
+    return _texts(sst.read_sst(spark, _sst_files(spark, sf)))
+
+
+@query(_LAST_ROWS)
+def kv_sst_plain_blocks(spark, sf):
+    return _texts(sst.read_sst(spark, _sst_files(spark, sf, "none")))
+
+
+_ASKED = ["user:000001", "user:000020", "user:000077", "user:none", "a", "z"]
+
+
+@query(_sql("SELECT key, coalesce(value, '') AS value, seq, op, expires_at_ms FROM h WHERE key IN ('" + "', '".join(_ASKED) + "')", _last(MAX, "h")))
+def kv_sst_get(spark, sf):
+    """Point reads in table files: bounds, bloom filter, index, one block."""
+    return _texts(sst.lookup_sst(spark, _sst_files(spark, sf), [k.encode() for k in _ASKED]))
+
+
+@query(_sql("SELECT key, coalesce(value, '') AS value, seq, op, expires_at_ms FROM log"))
+def kv_wal_recover(spark, sf):
+    """The whole log as write-ahead log files, recovered on executors."""
+    path = _scratch(spark)
+    spark.dataSource.register(wal.WalDataSource)
+    _bytes_log(spark, sf).drop("n").repartitionByRange(3, "seq").sortWithinPartitions("seq").write.format("kvwal").mode("append").save(path)
+    return _texts(wal.read_wal(spark, path))
+
+
+# ---- commands
+
+
+def _said(spark, lines: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([(i, said, answer) for i, (said, answer) in enumerate(lines)], "n int, said string, answer string")
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\r\n", "' || chr(13) || chr(10) || '") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, b) in enumerate(rows)) + ") v(n, said, answer)"
+
+
+#: A session of commands and what the protocol says to each.
+_WIRE = [
+    ("MSET pear green plum blue fig", "-ERR wrong number of arguments for 'mset' command\r\n"),
+    ("MSET pear green plum blue", "+OK\r\n"),
+    ("DBSIZE", ":2\r\n"),
+    ("GET plum", "$4\r\nblue\r\n"),
+    ("SET plum violet EX 3600", "+OK\r\n"),
+    ("MGET plum fig pear", "*3\r\n$6\r\nviolet\r\n$-1\r\n$5\r\ngreen\r\n"),
+    ("DEL pear fig", ":2\r\n"),
+    ("GET pear", "$-1\r\n"),
+    ("DBSIZE", ":1\r\n"),
+    ("FLUSHDB", "+OK\r\n"),
+    ("PING", "+PONG\r\n"),
+    ("PING there", "+there\r\n"),
+    ("HGET pear x", "-ERR unknown command 'HGET'\r\n"),
+    ("QUIT", "+OK\r\n"),
+]
+
+
+@query(_values(_WIRE))
+def kv_wire_session(spark, sf):
+    """Commands decoded from their wire form, run on a store with a log, and their encoded answers."""
+    store = commands.Store(KVTable(spark, _scratch(spark)), os.path.join(tempfile.mkdtemp(prefix="kvtide-wal-"), "1.wal"))
+    out = []
+    for line, _ in _WIRE:
+        words = commands.read_command(io.BytesIO(commands.array([w.encode() for w in line.split()])))
+        out.append((line, commands.dispatch(store, words)[0].decode()))
+    store.close()
+    return _said(spark, out)
+
+
+_SHELL = [("put fig ripe", "OK"), ("get fig", "ripe"), ("put date sweet 100", "OK"), ("delete fig", "OK"), ("get fig", "(nil)"), ("scan a z", f"{'date':<20} | sweet"), ("flush", "OK"), ("compact", "nothing to compact"), ("", "")]
+
+
+@query(_values(_SHELL))
+def kv_shell_session(spark, sf):
+    store = commands.Store(KVTable(spark, _scratch(spark)))
+    return _said(spark, [(line, commands.shell(store, line)) for line, _ in _SHELL])
+
+
+@query(_sql(f"SELECT key, coalesce(value, '') AS value FROM (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log) WHERE rn = 1) WHERE op = 1"))
+def kv_store_recover(spark, sf):
+    """The newest version of every user written command by command to a store that dies, and what a new one finds."""
+    table, path = KVTable(spark, _scratch(spark)), os.path.join(tempfile.mkdtemp(prefix="kvtide-wal-"), "1.wal")
+    dying = commands.Store(table, path, sync=False)
+    for r in R.latest_versions(event_log(spark, sf)).orderBy("key").toLocalIterator():
+        dying.put(r.key, r.value or "") if r.op == 1 else dying.delete(r.key)
+    del dying  # without a flush
+    again = commands.Store(KVTable(spark, table.path), path)
+    return spark.createDataFrame([(k.decode(), v.decode()) for k, v in again.scan()], "key string, value string")
 
 
 @query("SELECT event_id, lpad(CAST(event_id AS VARCHAR), 6, '0') || '.wal' AS name, CASE WHEN strlen(event_type) > 5 THEN left(event_type, 2) || '...' ELSE event_type END AS short FROM events")
@@ -486,13 +667,13 @@ def ext_json_value(spark, sf):
     return v.select("key", F.from_json("value", "k long")["k"].alias("k"))
 
 
-@query(_sql("SELECT p.at, v.key, v.seq FROM (SELECT seq AS at FROM log WHERE seq % 100 = 0) p JOIN (SELECT key, seq, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS until FROM log) v ON p.at >= v.seq AND p.at < v.until"))
+@query(_sql("SELECT p.at, v.key, v.seq FROM (SELECT DISTINCT seq // 100 * 100 AS at FROM log) p JOIN (SELECT key, seq, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS until FROM log) v ON p.at >= v.seq AND p.at < v.until"))
 def ext_range_join(spark, sf):
-    """Which versions are the newest of their keys at every hundredth commit."""
+    """Which versions were the newest of their keys at the beginning of every hundred commits of the whole log."""
     log = event_log(spark, sf)
     v = R.validity(log).filter("until IS NOT NULL").select("key", "seq", "until")
-    points = log.filter("seq % 100 = 0").select(F.col("seq").alias("at"))
-    return R.range_join(points, v, "at", "seq", "until", 256).select("at", "key", "seq")
+    points = log.select((F.floor(F.col("seq") / 100) * 100).alias("at")).distinct()
+    return R.range_join(points, v, "at", "seq", "until").select("at", "key", "seq")
 
 
 @query("SELECT event_type, user_id % 5 AS part, count(*) AS n FROM events GROUP BY GROUPING SETS ((event_type), (user_id % 5), ())")

@@ -8,14 +8,18 @@ it isn't compressed).
 
 from __future__ import annotations
 
+import os
 import struct
-from bisect import bisect_right
+import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from ..functions.hashing import BloomFilter
 from ..schema import KV_SCHEMA
@@ -109,6 +113,7 @@ class Table:
         for _ in range(c.unpack(">i")[0]):
             key = c.sized(len(data))
             self.index.append((key, *c.unpack(">qi")))
+        self.first_keys = [k for k, *_ in self.index]
         x, n = self.footer.bloom
         self.bloom = BloomFilter.from_bytes(data[x : x + n])
 
@@ -120,14 +125,83 @@ class Table:
         f = self.footer
         if f.min_key is None or not f.min_key <= key <= f.max_key or not self.bloom.might_contain([key])[0]:
             return None
-        i = bisect_right([k for k, *_ in self.index], key) - 1
-        return next((r for r in self._read(i) if r.key == key and (max_seq is None or r.seq <= max_seq)), None)
+        block = self._read(bisect_right(self.first_keys, key) - 1)
+        i = bisect_left(block, key, key=lambda r: r.key)
+        found = block[i] if i < len(block) and block[i].key == key else None
+        return found if found is None or max_seq is None or found.seq <= max_seq else None
 
     def __iter__(self) -> Iterator[Record]:
         for i in range(len(self.index)):
             yield from self._read(i)
 
 
+class SstWriter(DataSourceArrowWriter):
+    """A file a partition, whose rows are sorted by key with one version of each. The folder must be where every executor can write."""
+
+    def __init__(self, options: dict) -> None:
+        self.path = options["path"].removeprefix("file://")
+        self.lz4, self.block = options.get("codec", "lz4") == "lz4", int(options.get("blockBytes", BLOCK_BYTES))
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        records = []
+        for b in batches:
+            for k, v, s, o, e in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in KV_SCHEMA.names), strict=True):
+                records.append(Record(k, v or b"", s, o, e))
+        if not records:
+            return WriterCommitMessage()
+        if any(a.key >= b.key for a, b in zip(records, records[1:], strict=False)):
+            raise ValueError("rows of a table file must be sorted by key, with one version of each")
+        os.makedirs(self.path, exist_ok=True)
+        name = os.path.join(self.path, f"{uuid.uuid4().hex}.sst")
+        with open(name + ".tmp", "wb") as f:
+            f.write(encode_table(records, self.lz4, self.block))
+        os.rename(name + ".tmp", name)  # a file is whole or isn't there
+        return SstFile(name)
+
+    def abort(self, messages: list[WriterCommitMessage]) -> None:
+        for m in messages:
+            if isinstance(m, SstFile):
+                os.remove(m.path)
+
+
+class SstFile(WriterCommitMessage):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+
+class SstDataSource(DataSource):
+    """df.write.format("kvsst").mode("append").save(path): rows as table files on a shared disk; read_sst reads them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "kvsst"
+
+    def schema(self) -> StructType:
+        return KV_SCHEMA
+
+    def writer(self, schema: StructType, overwrite: bool) -> SstWriter:
+        return SstWriter(self.options)
+
+
+def write_sst(rows: DataFrame, path: str, files: int, codec: str = "lz4") -> None:
+    """One version of each key, as so many table files with ranges of keys of their own."""
+    rows.sparkSession.dataSource.register(SstDataSource)
+    sorted_ = rows.select(*KV_SCHEMA.names).repartitionByRange(files, "key").sortWithinPartitions("key")
+    sorted_.write.format("kvsst").option("codec", codec).mode("append").save(path)
+
+
+def lookup_sst(spark: SparkSession, path: str, keys: list[bytes], max_seq: int | None = None) -> DataFrame:
+    """The versions of some keys in table files: bounds, filter, index and one block of each file a key."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for data in pdf["content"]:
+                t = Table(bytes(data))
+                yield pd.DataFrame([r for k in keys if (r := t.get(k, max_seq)) is not None], columns=KV_SCHEMA.names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, KV_SCHEMA)
+
+
 def read_sst(spark: SparkSession, path: str) -> DataFrame:
     """Table files of any file system that Spark reads, as rows; each is decoded on an executor."""
 

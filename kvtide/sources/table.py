@@ -78,6 +78,7 @@ class KVTable:
         """
         if stream and self.version().batches.get(stream, -1) >= batch:
             return self.version().max_seq
+        self.relieved()
         staged = f"{self.path}/_staging/{uuid.uuid4().hex}"
         ok = F.col("key").isNotNull() & (F.length("key") > 0) & (F.length("key") <= MAX_KEY_BYTES) & (F.coalesce(F.length("value"), F.lit(0)) <= MAX_VALUE_BYTES)
         checked = F.when(ok, F.col("key")).otherwise(F.raise_error(F.lit("a key is empty, or a key or value is too large")).cast("binary"))
@@ -92,6 +93,11 @@ class KVTable:
         finally:
             self.log.delete(staged)
 
+    def relieved(self) -> None:
+        """Bulk writers wait for compaction while level 0 has too many files."""
+        while sum(f.level == 0 for f in self.version().files) >= self.options.l0_stop and self.compact():
+            pass
+
     def _publish(self, rows, total: int, deletes: int, stream: str = "", batch: int = -1) -> int:
         for _ in range(10):
             base = self.version()
@@ -154,8 +160,16 @@ class KVTable:
         rows = merged(self.spark.read.schema(KV_SCHEMA).parquet(*gone), retain_seq, R.now_ms() if as_of_ms is None else as_of_ms, droppable)
         parts = max(1, -(-sum(f.bytes for f in inputs) // self.options.target_file_bytes))
         files = self._write(rows.repartitionByRange(parts, "key").sortWithinPartitions("key", F.col("seq").desc()), level)
-        self.log.publish(base, files, sorted(gone), base.max_seq)
-        return True
+        while True:  # others may commit meanwhile: their rows are newer, so what was merged stays right as long as its inputs are there
+            try:
+                self.log.publish(base, files, sorted(gone), base.max_seq)
+                return True
+            except CommitConflict:
+                base = self.version()
+                if not gone <= {f.path for f in base.files}:  # another compaction took them
+                    for f in files:
+                        self.log.delete(f.path)
+                    return False
 
     def vacuum(self, retain_versions: int = 1) -> list[str]:
         """Deletes files that none of the last versions uses, orphans of failed writes among them. Older versions can't be read afterwards."""
@@ -168,6 +182,11 @@ class KVTable:
 
     # ---- metrics
 
+    def files(self) -> DataFrame:
+        """A row a file: path, level, rows, bytes, first and last key, first and last sequence number."""
+        rows = [(f.path, f.level, f.rows, f.bytes, bytearray.fromhex(f.min_key), bytearray.fromhex(f.max_key), f.min_seq, f.max_seq) for f in self.version().files]
+        return self.spark.createDataFrame(rows, "path string, level int, rows long, bytes long, min_key binary, max_key binary, min_seq long, max_seq long")
+
     def levels(self) -> DataFrame:
         """A row a level: files, rows and bytes."""
         files = self.version().files

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..operators.mutations import WriteBatch
@@ -136,8 +137,24 @@ class WalReader(DataSourceReader):
             yield from map(tuple, recover(f.read()).records)
 
 
+class WalWriter(DataSourceWriter):
+    """A log file a partition, its records in the order of the rows."""
+
+    def __init__(self, options: dict) -> None:
+        self.path = options["path"].removeprefix("file://")
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        os.makedirs(self.path, exist_ok=True)
+        name = os.path.join(self.path, f"{uuid.uuid4().hex}.wal")
+        with open(name + ".tmp", "wb") as f:
+            for r in rows:
+                f.write(encode_record(Record(bytes(r.key), bytes(r.value or b""), r.seq, r.op, r.expires_at_ms)))
+        os.rename(name + ".tmp", name)
+        return WriterCommitMessage()
+
+
 class WalDataSource(DataSource):
-    """spark.read.format("kvwal").load(path): the records of log files on a shared disk."""
+    """spark.read.format("kvwal").load(path), df.write.format("kvwal").save(path): the records of log files on a shared disk."""
 
     @classmethod
     def name(cls) -> str:
@@ -149,6 +166,9 @@ class WalDataSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return WalReader(self.options)
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return WalWriter(self.options)
+
 
 def read_wal(spark: SparkSession, path: str):
     """Log files of any file system that Spark reads, as rows; each is decoded on an executor."""

@@ -101,3 +101,32 @@ def test_compression_pays():
 def test_text_functions(spark):
     r = spark.range(1).select(text.file_name(F.lit(42), "sst").alias("f"), text.shortened(F.lit("abcdefgh"), 6).alias("s"), text.shortened(F.lit("abc"), 6).alias("t")).first()
     assert tuple(r) == ("000042.sst", "abc...", "abc")
+
+
+def test_one_long_key_costs_only_itself():
+    keys = [b"k%d" % i for i in range(20_000)] + [b"x" * (8 << 20), b""]
+    got = murmur3_32(keys, 7)
+    assert [int(murmur3_32([k], 7)[0]) for k in (*keys[:5], *keys[-2:])] == [*got[:5].tolist(), *got[-2:].tolist()]
+
+
+def test_bloom_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(hashing, "_PIECE", 16)
+    df = spark.range(3000).select(F.format_string("item:%d", "id").cast("binary").alias("key")).repartition(7)
+    assert hashing.build_bloom(df, 3000).to_bytes() == BloomFilter(3000).add(b"item:%d" % i for i in range(3000)).to_bytes()
+
+
+def test_table_files_written_by_tasks(spark, tmp_path):
+    rows = [(bytearray(b"k%04d" % i), bytearray(b"v" * (i % 50)), i + 1, 1, 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key binary, value binary, seq long, op byte, expires_at_ms long").repartition(5)
+    sst.write_sst(df, f"file://{tmp_path}/sst", 3)
+    files = sorted((tmp_path / "sst").iterdir())
+    assert len(files) == 3 and all(f.suffix == ".sst" for f in files)
+    spans = sorted((t.footer.min_key, t.footer.max_key) for t in (sst.Table(f.read_bytes()) for f in files))
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert sorted(map(tuple, sst.read_sst(spark, f"file://{tmp_path}/sst").collect())) == sorted(map(tuple, df.collect()))
+    got = sst.lookup_sst(spark, f"file://{tmp_path}/sst", [b"k0007", b"k2999", b"k", b"k0100"], 101).collect()
+    assert sorted(r.seq for r in got) == [8, 101]
+    with pytest.raises(Exception, match="sorted by key"):
+        spark.dataSource.register(sst.SstDataSource)
+        df.unionByName(df).coalesce(1).write.format("kvsst").mode("append").save(f"file://{tmp_path}/bad")
+    assert not [f for f in (tmp_path / "bad").glob("*")] if (tmp_path / "bad").exists() else True

@@ -187,3 +187,88 @@ def test_a_half_written_commit_is_none(spark, tmp_path):
         again.log.publish(again.version(), [], [], 1)
     assert again.log.repair() and not again.log.repair()
     assert again.put("b", "2") == 2
+
+
+def test_compaction_beside_writers(spark, tmp_path, monkeypatch):
+    """An append that lands while a compaction writes its files doesn't undo it; a compaction whose inputs are gone gives up."""
+    t = table(spark, tmp_path, l0_files=2)
+    t.put("a", "1")
+    t.put("b", "2")
+    other, real, taken = KVTable(spark, t.path, Options(l0_files=2)), KVTable._write, []
+
+    def slow(self, rows, level):
+        files = real(self, rows, level)
+        if self is t and level == 1 and not taken:
+            taken.append(other.put("c", "3"))
+        return files
+
+    monkeypatch.setattr(KVTable, "_write", slow)
+    assert t.compact() and taken
+    v = t.version()
+    assert sorted(f.level for f in v.files) == [0, 1] and [t.get(k) for k in "abc"] == [b"1", b"2", b"3"] and v.max_seq == 3
+    t.put("d", "4")
+
+    def late(self, rows, level):
+        files = real(self, rows, level)
+        if self is t and level == 1 and len(taken) == 1:
+            taken.append(other.compact())
+        return files
+
+    monkeypatch.setattr(KVTable, "_write", late)
+    assert not t.compact() and taken[1] is True
+    assert [t.get(k) for k in "abcd"] == [b"1", b"2", b"3", b"4"] and sum(f.rows for f in t.version().files) == 4
+    t.vacuum()
+    assert [t.get(k) for k in "abcd"] == [b"1", b"2", b"3", b"4"]
+
+
+def test_a_writer_that_dies_leaves_no_half_commit(spark, tmp_path):
+    """What is written aside doesn't count, and doesn't hold the next writer up."""
+    t = table(spark, tmp_path)
+    t.put("a", "1")
+    (tmp_path / "t" / "_commits" / "_dead.tmp").write_text('{"add": [')
+    assert table(spark, tmp_path).put("b", "2") == 2 and t.get("b") == b"2"
+    assert [n for n in (tmp_path / "t" / "_commits").iterdir() if n.name.endswith(".tmp")] == [tmp_path / "t" / "_commits" / "_dead.tmp"]
+
+
+def test_bulk_writers_wait_for_compaction(spark, tmp_path):
+    t = table(spark, tmp_path, l0_files=2, l0_stop=3)
+    for i in range(7):
+        t.append(bulk(spark, 10, f"v{i}:%d").coalesce(1), "id")
+    assert t.metrics()["l0_files"] <= 4 + 3 and t.metrics()["l1_files"] > 0 and t.get("key:000003") == b"v6:3"
+
+
+def test_merging_without_sorting_versions(spark):
+    from kvtide.operators.compaction import merged
+
+    rows = spark.createDataFrame([("k", "v", i, 1, 0) for i in range(1, 9)] + [("d", None, 9, 2, 0)], "key string, value string, seq long, op byte, expires_at_ms long")
+    plan = merged(rows, 6, 0, True)
+    assert sorted(r.seq for r in plan.collect()) == [6, 7, 8, 9]
+    assert "Window" not in plan._jdf.queryExecution().toString()
+
+
+def test_range_join_of_any_length(spark):
+    """Short and very long intervals against plain comparison; no interval goes to more than two buckets."""
+    import random
+
+    from kvtide.operators.resolve import range_join
+
+    r = random.Random(2)
+    rows = [(i, a, a + r.choice([0, 1, 3, 8, 64, 513, 10**6, 10**12])) for i, a in ((i, r.randrange(-(10**6), 10**6)) for i in range(200))]
+    points = [r.randrange(-(10**6), 2 * 10**6) for _ in range(300)]
+    got = range_join(spark.createDataFrame([(p,) for p in points], "at long"), spark.createDataFrame(rows, "i int, lo long, hi long"), "at", "lo", "hi")
+    assert sorted((x.at, x.i) for x in got.collect()) == sorted((p, i) for p in points for i, a, b in rows if a <= p < b)
+    assert got.columns == ["at", "i", "lo", "hi"]
+
+
+def test_overlap_join(spark, monkeypatch):
+    import random
+
+    from kvtide.operators import compaction as C
+
+    monkeypatch.setattr(C, "CELLS", 5)
+    r = random.Random(3)
+    files = lambda: [(i, *sorted((f"{r.randrange(1000):03d}", f"{r.randrange(1000):03d}"))) for i in range(40)]
+    a, b = files(), [*files(), (99, "x", "a")]
+    got = C.overlap_join(*(spark.createDataFrame(x, "run int, min_key string, max_key string") for x in (a, b)))
+    assert sorted((x.a_run, x.b_run) for x in got.collect()) == sorted((x[0], y[0]) for x in a for y in b if y[1] <= y[2] and x[1] <= y[2] and x[2] >= y[1])
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
