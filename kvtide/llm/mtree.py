@@ -15,7 +15,9 @@ computed. Round one searches each query's own cell; round two only the
 cells whose ball reaches within the query's k-th distance so far.
 
 Copies of a vector are one entry with its k + 1 smallest ids, which is all
-that any query can return. Queries go in blocks of ``BLOCK``.
+that any query can return. A tree with more queries than ``BLOCK`` (or a quarter of its
+vectors) is built for each batch of so many, and a tree without queries not at all, so the copies
+of the index are at most its size plus four rows a routed query.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part; shorter vectors are padded with zeros; ties go to the smaller id;
@@ -40,7 +42,8 @@ from .common import read, written
 K = 20
 SCALE = 64
 QUERY_EVERY = 20
-CELL, MAX_CELLS, PAGE, FAN, BLOCK = 4096, 1024, 256, 16, 16384
+#: Vectors of a cell that are aimed at, cells, entries of a page, children of a page, queries of a batch, and vectors of a tree at most, about.
+CELL, MAX_CELLS, PAGE, FAN, BLOCK, TREE = 4096, 1024, 256, 16, 1024, 1 << 16
 #: Vectors in the sample from which pivots are taken.
 SAMPLE = 8192
 #: Slack for rounding in distances of doubles; leaves are scored in exact integers.
@@ -152,17 +155,31 @@ def _matrix(col: pd.Series, dim: int) -> np.ndarray:
 
 def _searcher(dim: int, top2: float, k: int) -> Callable:
     def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        got = []
+        keys, ids, scores = ([np.zeros(0, np.int64)] for _ in range(3))
         if len(queries) and len(index):
             tree = MTree(_matrix(index["v"], dim), [np.asarray(x, np.int64) for x in index["ids"]], top2)
             for key, q, floor in zip(queries["qkey"], _matrix(queries["qv"], dim), queries["floor"], strict=True):
                 s, i = tree.search(q, k, None if pd.isna(floor) else int(floor))
-                got.append(pd.DataFrame({"qkey": key, "vec_id": i, "score": s}))
-        return pd.concat(got) if got else pd.DataFrame({"qkey": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+                keys.append(np.full(len(i), key, np.int64))
+                ids.append(i)
+                scores.append(s)
+        return pd.DataFrame({"qkey": np.concatenate(keys), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
 
     return run
 
 
+def copies(index: DataFrame, routed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index and the routed queries, both with the batch in which they meet. A row a tree is broadcast: a tree has TREE vectors, about."""
+    load = routed.groupBy("cell", "salt").agg(F.count("*").alias("asked"))
+    size = index.groupBy("cell", "salt").agg(F.count("*").alias("held"))
+    room = F.greatest(F.lit(BLOCK).cast("double"), F.col("held") / 4)
+    batches = load.join(size, ["cell", "salt"]).select(F.col("cell").alias("b_cell"), F.col("salt").alias("b_salt"), F.ceil(F.col("asked") / room).alias("batches"))
+    batches = F.broadcast(written(batches, "batches"))
+    at = (F.col("cell") == F.col("b_cell")) & (F.col("salt") == F.col("b_salt"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)).alias("block")
+    return index.join(batches, at).select("v", "ids", "cell", "salt", every), routed.join(batches, at).select(*routed.columns, F.pmod(F.xxhash64("qkey"), F.col("batches")).alias("block"))
+
+
 def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """vectors: (vec_id, v). Returns query_id, rank, vec_id, score of the k best for each row where is_query holds."""
     vectors = written(vectors, "vectors")
@@ -193,7 +210,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
 
     index = written(distinct.mapInPandas(assign, "v array<long>, ids array<long>, vkey long, cell long, far double"), "index")
     cells = index.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).toPandas()  # a row a cell, MAX_CELLS at most
-    salts = {int(c): max(1, -(-int(n) // (4 * max(CELL, size // MAX_CELLS)))) for c, n in zip(cells["cell"], cells["n"], strict=True)}
+    salts = {int(c): max(1, -(-int(n) // TREE)) for c, n in zip(cells["cell"], cells["n"], strict=True)}
     radius = dict(zip(cells["cell"].astype(int), cells["radius"], strict=True))
     salt_of = F.create_map(*[F.lit(x) for c, n in salts.items() for x in (c, n)])
     index = index.withColumn("salt", F.pmod(F.xxhash64("vkey"), salt_of[F.col("cell")]))
@@ -203,7 +220,6 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     queries = written(asked.select("v").distinct().withColumn("qkey", F.monotonically_increasing_id()), "queries")
     # a query's own id may be in several rows with different vectors, all of which fall out of its neighbours
     depth = k + (asked.distinct().groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1)
-    blocks = max(1, -(-queries.count() // BLOCK))
     known = np.array(sorted(radius))
     reach = np.array([radius[c] for c in known])
 
@@ -227,13 +243,13 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
             yield pd.DataFrame(rows, columns=["qkey", "qv", "floor", "cell", "salt"]).astype({"floor": "Float64"})
 
     shape = "qkey long, qv array<long>, floor double, cell long, salt long"
-    block = F.pmod(F.xxhash64("qkey"), F.lit(blocks)).alias("block")
-    trees = index.select("v", "ids", "cell", "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     search = _searcher(dim, top2, depth)
+    trees = index.select("v", "ids", "cell", "salt")
 
     def found(routed: DataFrame) -> DataFrame:
         by = ("cell", "salt", "block")
-        return routed.select("*", block).groupBy(*by).cogroup(trees.groupBy(*by)).applyInPandas(search, "qkey long, vec_id long, score long")
+        held, asked = copies(trees, written(routed, "routed"))
+        return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(search, "qkey long, vec_id long, score long")
 
     start = queries.select("qkey", F.col("v").alias("qv"), F.lit(None).cast("double").alias("floor"))
     one = written(found(start.mapInPandas(lambda b: route(b, False), shape)), "round-one")

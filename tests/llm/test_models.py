@@ -257,10 +257,30 @@ def plain_top(rows, k=20, every=20):
     return sorted(out)
 
 
+def test_the_index_is_copied_only_where_many_queries_go(spark, monkeypatch):
+    """Hundreds of batches: the copies stay within the index and four rows a routed query."""
+    for name, x in (("CELL", 20), ("BLOCK", 2), ("PAGE", 8)):
+        monkeypatch.setattr(mtree, name, x)
+    seen, real = [], mtree.copies
+
+    def spied(index, routed):
+        held, asked = real(index, routed)
+        seen.append((index.count(), routed.count(), held.count(), asked.count(), held.select("cell", "salt", "block").distinct().count()))
+        return held, asked
+
+    monkeypatch.setattr(mtree, "copies", spied)
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, (r.normal(size=6) * 2).tolist()) for i in range(1200)], "vec_id long, embedding array<double>")
+    assert mtree.top_k(mtree.quantized(df), F.col("vec_id") % 3 == 0, 3).count() == 1200
+    assert len(seen) == 2 and max(x[4] for x in seen) > 100
+    for index, routed, held, asked, _ in seen:
+        assert asked == routed and held <= index + 4 * routed
+
+
 @pytest.mark.parametrize("cell", [4096, 16])
 def test_top_k(spark, monkeypatch, cell):
     """Clusters, ties, copies, zero vectors; with small cells there are many trees."""
-    for name, x in (("CELL", cell), ("PAGE", 8), ("FAN", 3), ("BLOCK", 7)):
+    for name, x in (("CELL", cell), ("PAGE", 8), ("FAN", 3), ("BLOCK", 7), ("TREE", 2 * cell)):
         monkeypatch.setattr(mtree, name, x)
     r = np.random.default_rng(cell)
     centers = r.normal(0, 1, (5, 6))
