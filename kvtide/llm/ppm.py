@@ -1,26 +1,34 @@
 """Language model scores: prediction by partial matching over bytes, and unigram base scores.
 
-Model. A context trie of depth ``ORDER`` = 2 over bytes, counted on all
-training documents. A symbol's probability comes from the longest context in which it was
-seen, after an escape (method C: d / (n + d) with n counts of d symbols)
+Model. A context trie of depth ``ORDER`` = 5 over bytes, counted on all
+training documents and growing with them. A symbol's probability comes from the longest context
+in which it was seen, after an escape (method C: d / (n + d) with n counts of d symbols)
 from each longer one; symbols seen in a longer context are excluded from the
 shorter ones. Below order 0 the symbols left are equally likely. Byte FF, which UTF-8 never
-has, pads the start and ends the text. The trie has 256^2 contexts of 256
-symbols at most, so its table of log probabilities is at most 64 MB at any
-size of the corpus; that bound is why it is broadcast and why the order is 2.
+has, pads the start and ends the text.
+
+The trie is a table of grams: five bytes of context and a symbol, packed in a long, with
+their counts. Grams are counted by batch, then by partial sums. All contexts of orders 3 to 5 of a gram,
+and their other symbols, share its last three bytes of context, so grams dealt by these
+(256^3 symbols at most, of 256^2 first bytes) are scored together in a task: symbols seen in a context were seen in all
+shorter ones, so the mass that a context excludes is a sum over its symbols. Orders 0 to 2 are a dense table of 64 MB at
+most at any size of the corpus, which is broadcast to that step. Each distinct gram of all
+documents gets its log probability. Documents add them up: those of the most frequent grams, ``FREQUENT`` at most, from
+a broadcast table, all others by gram and joined back, with partial sums before every shuffle.
 
 Base score. Token counts are exact over all training tokens. Tokens that a
 sample shows to be frequent (``COMMON`` at most; any choice gives the same
 results) are counted in arrays and broadcast; occurrences of all others are
 summed by token and joined back, with partial sums before every shuffle.
 
-Passes over the texts: the sample, the counts, the scores. The scores are written
-once, a row a document with its rare tokens.
+Passes over the texts: the sample, the tokens, the grams, the scores. The scores are written
+once, a row a document with its rare tokens and grams.
 
 Defined cases: null text is empty (one token, the end); without training
 documents every count is 0 and bytes are uniform; repeated rows each get a row
 (rows are told apart by a number of their own); a null doc_id is
-hashed as the empty text; an empty table gives an empty result.
+hashed as the empty text; an empty table gives an empty result; a text of any length is worked on in
+pieces of ``CHUNK`` bytes.
 """
 
 from __future__ import annotations
@@ -30,19 +38,22 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, read, written
+from .common import lean, parts_for, read, written
 
-ORDER = 2
-END = 255
+ORDER = 5
+PAD = b"\xff" * ORDER
 COMMON = 1 << 16
 SAMPLE_DOCS = 4000
 #: Bytes of text worked on at a time.
 CHUNK = 1 << 22
+#: Grams in the broadcast table, and those a task holds before it sends them on.
+FREQUENT, HELD_GRAMS = 1 << 21, 1 << 22
 FOLDS, HELD = 5, 1
 
 
@@ -58,24 +69,26 @@ def words_of(text: str | None) -> list[bytes]:
 # ---- the byte model
 
 
-def count_contexts(texts: list[bytes], sums: dict[int, np.ndarray]) -> None:
-    """Adds counts of (two bytes, next byte) of padded texts to sums, by context."""
-    data = b"".join(b"\xff\xff" + t + b"\xff" for t in texts)
-    a = np.frombuffer(data, np.uint8)
+def pieces_of(text: bytes) -> Iterator[bytes]:
+    """A padded text in pieces; the first ORDER bytes of each are context only."""
+    data = PAD + text + b"\xff"
+    for k in range(0, len(data) - ORDER, CHUNK):
+        yield data[k : k + CHUNK + ORDER]
+
+
+def grams(pieces: list[bytes]) -> np.ndarray:
+    """The grams of all pieces, one after the other: ORDER bytes of context and a symbol, packed."""
+    a = np.frombuffer(b"".join(pieces), np.uint8)
+    size = np.array([len(x) for x in pieces], np.int64)
     ok = np.ones(len(a), bool)
-    at = np.cumsum([0] + [len(t) + 3 for t in texts[:-1]])
-    ok[at] = ok[at + 1] = False
-    ok = ok[2:]
-    ctx = ((a[:-2].astype(np.uint16) << 8) | a[1:-1])[ok]
-    used = np.flatnonzero(np.bincount(ctx, minlength=1 << 16))
-    ids = np.zeros(1 << 16, np.int32)
-    ids[used] = np.arange(len(used), dtype=np.int32)
-    got = np.bincount(ids[ctx] * 256 + a[2:][ok], minlength=len(used) * 256).reshape(-1, 256)
-    for c, row in zip(used.tolist(), got, strict=True):
-        if c in sums:
-            sums[c] += row
-        else:
-            sums[c] = row
+    first = np.cumsum(size) - size
+    for k in range(ORDER):
+        ok[first + k] = False
+    wide = a.astype(np.uint64)
+    g = wide[: len(a) - ORDER]
+    for k in range(1, ORDER + 1):
+        g = (g << np.uint64(8)) | wide[k : len(a) - ORDER + k]
+    return g[ok[ORDER:]]
 
 
 def probabilities(ctx: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,14 +126,81 @@ def probabilities(ctx: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return lut, out
 
 
-def code_length(text: bytes, lut: np.ndarray, flat: np.ndarray) -> float:
-    """log10 probability of a text and its end; flat: the table as one row."""
-    data, total = b"\xff\xff" + text + b"\xff", 0.0
-    for k in range(0, len(data) - 2, CHUNK):
-        a = np.frombuffer(data[k : k + CHUNK + 2], np.uint8)
-        row = lut[(a[:-2].astype(np.uint16) << 8) | a[1:-1]]
-        total += float(flat[row * 256 + a[2:]].sum(dtype=np.float64))
-    return total
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their sums."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of what is wanted in sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return i, keys[i] == wanted
+
+
+def gram_scores(key: np.ndarray, n: np.ndarray, low: LowOrders) -> np.ndarray:
+    """log10 probabilities of distinct grams, in order, with their training counts; all grams that share three bytes of context are there."""
+    levels, k, c = [], key[n > 0], n[n > 0]
+    for order in range(ORDER, 2, -1):
+        shorter, sums = _summed(k & np.uint64((1 << 8 * order) - 1), c)
+        x, owner = np.unique(k >> np.uint64(8), return_inverse=True)
+        up = sums[_at(shorter, k & np.uint64((1 << 8 * order) - 1))[0]] if order > 3 else low.counts_of(k)
+        levels.append((k, c, x, np.bincount(owner, c, len(x)), np.bincount(owner, minlength=len(x)), np.bincount(owner, up, len(x))))
+        k, c = shorter, sums
+    out, open_ = np.zeros(len(key)), np.ones(len(key), bool)
+    gone_n, gone_d = np.zeros(len(key)), np.zeros(len(key))
+    for order, (k, c, x, total, kinds, mass) in zip(range(ORDER, 2, -1), levels, strict=True):
+        mine = key & np.uint64((1 << 8 * (order + 1)) - 1)
+        i, here = _at(x, mine >> np.uint64(8))
+        j, found = _at(k, mine)
+        if not len(x):
+            continue
+        left_n, left_d = total[i] - gone_n, kinds[i] - gone_d
+        hit, miss = open_ & found, open_ & here & ~found & (left_n > 0)
+        down = np.where(kinds[i] == 256, left_n, left_n + left_d)
+        out[hit] += np.log10(c[j[hit]] / down[hit])
+        out[miss] += np.log10(left_d[miss] / down[miss])
+        open_ &= ~found
+        gone_n, gone_d = np.where(here, mass[i], gone_n), np.where(here, kinds[i], gone_d)
+    out[open_] += low.scores(key[open_], gone_n[open_], gone_d[open_])
+    return out
+
+
+class LowOrders:
+    """Contexts of two bytes, one and none, as a dense table."""
+
+    def __init__(self, ctx: np.ndarray, counts: np.ndarray) -> None:
+        self.n, self.counts = len(ctx), counts
+        self.lut, self.table = probabilities(ctx, counts.astype(np.float64))
+        self.total, self.kinds = counts.sum(1, dtype=np.float64), (counts > 0).sum(1)
+
+    def _row(self, key: np.ndarray) -> np.ndarray:
+        return self.lut[((key >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)]
+
+    def counts_of(self, key: np.ndarray) -> np.ndarray:
+        """Counts of the last three bytes of grams that were seen."""
+        return self.counts[self._row(key), (key & np.uint64(255)).astype(np.int64)]
+
+    def scores(self, key: np.ndarray, gone_n: np.ndarray, gone_d: np.ndarray) -> np.ndarray:
+        """log10 probabilities without symbols of which gone_d kinds with gone_n counts were excluded by a longer context."""
+        row, sym = self._row(key), (key & np.uint64(255)).astype(np.int64)
+        out = self.table[row, sym].astype(np.float64)
+        at = np.flatnonzero(row < self.n)  # contexts of two bytes that were seen
+        r = row[at]
+        c, total, kinds = self.counts[r, sym[at]], self.total[r], self.kinds[r]
+        left_n, left_d = total - gone_n[at], kinds - gone_d[at]
+        down = np.where(kinds == 256, left_n, left_n + left_d)
+        hit, down_some = c > 0, down > 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            seen = np.log10(c / down)
+            # the escape is another one than in the table; what follows it is the same
+            other = out[at] - np.log10(kinds / (total + kinds)) + np.where(down_some & (left_n > 0), np.log10(left_d / down), 0.0)
+        out[at] = np.where(hit, seen, other)
+        return out
 
 
 # ---- the passes
@@ -144,53 +224,108 @@ def _common(docs: DataFrame) -> list[bytes]:
     return [bytes(r.w) for r in got.orderBy(F.col("n").desc(), "w").limit(COMMON).collect()]
 
 
-def _counts(train: DataFrame, common: list[bytes]) -> tuple[np.ndarray, int, int, np.ndarray, np.ndarray]:
-    """Over all training documents: counts of common tokens, all tokens, documents, contexts and their counts."""
+def _counts(train: DataFrame, common: list[bytes]) -> tuple[np.ndarray, int, int]:
+    """Over all training documents: counts of common tokens, all tokens, documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {w: i for i, w in enumerate(common)}
-        mine, sums, tokens, docs = np.zeros(len(common), np.int64), {}, 0, 0
-        held, size, words = [], 0, Counter()
-
-        def flush() -> None:
-            nonlocal size
-            if held:
-                count_contexts(held, sums)
-            for w, k in words.items():
-                if (i := at.get(w)) is not None:
-                    mine[i] += k
-            held.clear()
-            words.clear()
-            size = 0
-
+        mine, tokens, docs = np.zeros(len(common), np.int64), 0, 0
         for b in batches:
+            words: Counter[bytes] = Counter()
             for t in b.column(0):
-                t = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                w = t.lower().split()
+                w = words_of(t.as_py())
                 words.update(w)
-                tokens, docs, size = tokens + len(w) + 1, docs + 1, size + len(t)
-                held.append(t)
-                if size > CHUNK:
-                    flush()
-        flush()
+                tokens, docs = tokens + len(w) + 1, docs + 1
+            for w, k in words.items():
+                if (i := at.get(w)) is not None:
+                    mine[i] += k
         seen = np.flatnonzero(mine)
-        keys, kinds, ns = [seen, [0, 1]], [np.zeros(len(seen), np.int32), np.full(2, 2, np.int32)], [mine[seen], [tokens, docs]]
-        for c, row in sums.items():
-            s = np.flatnonzero(row)
-            keys.append(c * 256 + s)
-            kinds.append(np.ones(len(s), np.int32))
-            ns.append(row[s])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in ((kinds, np.int32), (keys, np.int64), (ns, np.int64))], ["kind", "key", "n"])
+        rows = (np.r_[np.zeros(len(seen)), 2, 2], np.r_[seen, 0, 1], np.r_[mine[seen], tokens, docs])
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(rows, (np.int32, np.int64, np.int64), strict=True)], ["kind", "key", "n"])
 
     got = train.select("text").mapInArrow(lean(run), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toPandas()
     kind, key, n = (got[c].to_numpy() for c in ("kind", "key", "n"))
     c = np.zeros(len(common), np.int64)
     c[key[kind == 0]] = n[kind == 0]
     totals = dict(zip(key[kind == 2].tolist(), n[kind == 2].tolist(), strict=True))
-    ctx, row = np.unique(key[kind == 1] >> 8, return_inverse=True)
-    counts = np.zeros((len(ctx), 256))
-    counts[row, key[kind == 1] & 255] = n[kind == 1]
-    return c, totals.get(0, 0), totals.get(1, 0), ctx, counts
+    return c, totals.get(0, 0), totals.get(1, 0)
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(g, n): the distinct grams of docs (text, held_out), with their counts in training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: tuple[list[bytes], list[bytes]] = ([], [])
+        size = 0
+
+        def flush() -> None:
+            nonlocal key, n, size
+            keys, ns = [key], [n]
+            for weight, mine in ((1, held[0]), (0, held[1])):
+                if mine:
+                    found = pa.array(grams(mine)).value_counts()
+                    keys.append(found.field("values").to_numpy())
+                    ns.append(found.field("counts").to_numpy() * weight)
+                    mine.clear()
+            key, n = _summed(np.concatenate(keys), np.concatenate(ns))
+            size = 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["g", "n"])
+
+        for b in batches:
+            for t, out in zip(b.column(0), b.column(1), strict=True):
+                for x in pieces_of((t.as_py() or "").encode("utf-8", "surrogatepass")):
+                    held[out.as_py()].append(x)
+                    size += len(x)
+                    if size > CHUNK:
+                        flush()
+                        if len(key) > HELD_GRAMS:
+                            yield rows()
+                            key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        flush()
+        yield rows()
+
+    return docs.select("text", "held_out").mapInArrow(lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+
+def scored_grams(counts: DataFrame) -> DataFrame:
+    """counts, a written table (g, n); adds p, the log10 probability of the symbol after its context."""
+    spark = counts.sparkSession
+    low = counts.filter("n > 0").groupBy(F.col("g").bitwiseAND(0xFFFFFF).alias("t")).agg(F.sum("n").alias("n")).toPandas()  # three bytes
+    t, n = low["t"].to_numpy(np.int64), low["n"].to_numpy()
+    ctx, row = np.unique(t >> 8, return_inverse=True)
+    dense = np.zeros((len(ctx), 256), np.float32 if n.sum() < 1 << 24 else np.float64)
+    dense[row, t & 255] = n
+    shared = spark.sparkContext.broadcast((ctx, dense))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        whole = pa.Table.from_batches(got)
+        g, n = (whole.sort_by("g").column(i).to_numpy() for i in range(2))
+        ctx, dense = shared.value
+        low = LowOrders(ctx, dense)
+        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n), pa.array(gram_scores(g.view(np.uint64), n, low).astype(np.float32))], ["g", "n", "p"])
+
+    parts = parts_for(counts, counts.count())
+    near = F.shiftright("g", 8).bitwiseAND(0xFFFFFF)
+    return counts.select("g", "n").repartition(parts, near).mapInArrow(lean(run), "g long, n long, p float")
+
+
+def _frequent(scored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent grams and their log probabilities, FREQUENT at most."""
+    size = F.length(F.bin("n"))  # powers of two
+    most, at = 0, 65
+    for r in scored.filter("n > 0").groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+        most += r["count"]
+        if most > FREQUENT:
+            break
+        at = r["size"]
+    got = scored.filter((F.col("n") > 0) & (size >= at)).select("g", "p").toPandas()
+    return got["g"].to_numpy(np.int64), got["p"].to_numpy(np.float32)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -198,19 +333,41 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select("text", "doc_id", held_out(F.col("doc_id")).alias("held_out"))
     common = _common(d)
-    counts, tokens, n_docs, ctx, rows = _counts(d.filter("NOT held_out"), common)
-    lut, table = probabilities(ctx, rows)
-    shared = spark.sparkContext.broadcast((common, counts, lut, table))
+    counts, tokens, n_docs = _counts(d.filter("NOT held_out"), common)
+    scored = written(scored_grams(written(gram_counts(d), "grams")), "scored-grams")
+    shared = spark.sparkContext.broadcast((common, counts, *_frequent(scored)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = math.log10(n_docs + 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts, lut, table = shared.value
+        common, counts, known_grams, p = shared.value
         value = dict(zip(common, zip(np.log10(counts + 0.5).tolist(), (counts > 0).tolist(), strict=True), strict=True))
-        flat, rid = table.ravel(), TaskContext.get().partitionId() << 40
+        index, rid = pd.Index(known_grams), TaskContext.get().partitionId() << 40
         for b in batches:
-            out = {k: [] for k in ("rid", "n", "known", "base", "score", "rare", "tf")}
-            for t in b.column(0):
+            out = {k: [] for k in ("rid", "n", "known", "base", "rare", "tf")}
+            total, far, far_n = np.zeros(b.num_rows), [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
+            pieces, owner, size = [], [], 0
+
+            def flush() -> None:
+                nonlocal size
+                if pieces:
+                    g = grams(pieces).view(np.int64)
+                    row = np.repeat(owner, [len(x) - ORDER for x in pieces])
+                    at = index.get_indexer(g)
+                    if len(p):
+                        total[:] += np.bincount(row, np.where(at >= 0, p[at], 0), len(total))
+                    miss = np.flatnonzero(at < 0)
+                    if len(miss):
+                        o = miss[np.lexsort((g[miss], row[miss]))]
+                        new = np.flatnonzero(np.r_[True, (g[o][1:] != g[o][:-1]) | (row[o][1:] != row[o][:-1])])
+                        for r, x, k in zip(row[o][new].tolist(), g[o][new].tolist(), np.diff(np.r_[new, len(o)]).tolist(), strict=True):
+                            far[r].append(x)
+                            far_n[r].append(k)
+                pieces.clear()
+                owner.clear()
+                size = 0
+
+            for i, t in enumerate(b.column(0)):
                 t = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 c = Counter(t.lower().split())
                 n, known, base, rare, tf = 1, int(n_docs > 0), end, [], []
@@ -222,13 +379,23 @@ def score(docs: DataFrame) -> DataFrame:
                     else:
                         base += k * v[0]
                         known += k * v[1]
-                for k, x in zip(out, (rid, n, known, base, code_length(t, lut, flat), rare, tf), strict=True):
+                for k, x in zip(out, (rid, n, known, base, rare, tf), strict=True):
                     out[k].append(x)
                 rid += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *[pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)]], ["doc_id", "held_out", *out])
-
-    s = written(d.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, rid long, n long, known long, base double, score double, rare array<binary>, tf array<long>"), "scores")
+                for x in pieces_of(t):
+                    pieces.append(x)
+                    owner.append(i)
+                    size += len(x)
+                    if size > CHUNK:
+                        flush()
+            flush()
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            arrays = [pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)]
+            more = [pa.array(total), pa.array(far, pa.list_(pa.int64())), pa.array(far_n, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *arrays, *more], ["doc_id", "held_out", *out, "score", "far", "far_n"])
+
+    schema = f"doc_id {kind}, held_out boolean, rid long, n long, known long, base double, rare array<binary>, tf array<long>, score double, far array<long>, far_n array<long>"
+    s = written(d.mapInArrow(lean(run), schema), "scores")
     every = s.select("rid", "held_out", F.explode(F.arrays_zip("rare", "tf")).alias("x")).select("rid", "held_out", F.col("x.rare").alias("w"), F.col("x.tf").alias("tf"))
     seen = written(every.filter("NOT held_out").groupBy("w").agg(F.sum("tf").alias("c")), "token-counts")
     kinds = seen.count() + int((counts > 0).sum()) + int(n_docs > 0)
@@ -236,10 +403,13 @@ def score(docs: DataFrame) -> DataFrame:
     c = F.coalesce(F.col("c"), F.lit(0))
     # a document's base score adds its rare tokens in any order: doubles, so equal up to rounding
     rare = both.groupBy("rid").agg(F.sum(F.col("tf") * F.log10(c + F.lit(0.5))).alias("rare_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rare_known"))
+    far = s.select("rid", F.explode(F.arrays_zip("far", "far_n")).alias("x")).select(F.col("rid").alias("far_rid"), F.col("x.far").alias("far"), F.col("x.far_n").alias("far_n"))
+    far = far.join(scored.select("g", "p"), F.col("far") == F.col("g")).groupBy("far_rid").agg(F.sum(F.col("far_n") * F.col("p").cast("double")).alias("far_score"))
     whole = math.log10(tokens + 0.5 * (kinds + 1))
-    out = s.drop("rare", "tf").join(rare.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r"), "left")
+    out = s.drop("rare", "tf", "far", "far_n").join(rare.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r"), "left").join(far, F.col("rid") == F.col("far_rid"), "left")
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n") * F.lit(whole)
-    return out.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    known = (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long")
+    return out.select("doc_id", "held_out", F.col("n").alias("n_tokens"), known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("far_score", F.lit(0.0))).alias("score"))
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

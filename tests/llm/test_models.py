@@ -94,18 +94,18 @@ def test_tables_equal_filters():
 # ---- PPM
 
 
-def plain_ppm(train):
-    tri = [defaultdict(Counter) for _ in range(3)]
+def plain_ppm(train, order=ppm.ORDER):
+    seen = [defaultdict(Counter) for _ in range(order + 1)]
     for x in train:
-        b = b"\xff\xff" + x + b"\xff"
-        for i in range(2, len(b)):
-            for k in range(3):
-                tri[k][b[i - k : i]][b[i]] += 1
+        b = b"\xff" * order + x + b"\xff"
+        for i in range(order, len(b)):
+            for k in range(order + 1):
+                seen[k][b[i - k : i]][b[i]] += 1
 
     def p(ctx, sym):
         out, gone = 1.0, set()
-        for k in (2, 1, 0):
-            c = {a: n for a, n in tri[k].get(ctx[2 - k :], {}).items() if a not in gone}
+        for k in range(order, -1, -1):
+            c = {a: n for a, n in seen[k].get(ctx[order - k :], {}).items() if a not in gone}
             if not c:
                 continue
             n, d = sum(c.values()), len(c)
@@ -118,14 +118,14 @@ def plain_ppm(train):
     return p
 
 
-def check_scores(spark, rows, common):
-    before = ppm.COMMON
-    ppm.COMMON = common
+def check_scores(spark, rows, common, frequent=1 << 21):
+    before = ppm.COMMON, ppm.FREQUENT
+    ppm.COMMON, ppm.FREQUENT = common, frequent
     try:
         df = spark.createDataFrame(rows, "doc_id long, text string")
         got = ppm.score(df.repartition(3)).collect()
     finally:
-        ppm.COMMON = before
+        ppm.COMMON, ppm.FREQUENT = before
     key = lambda i: "" if i is None else str(i)
     train = [(t or "") for i, t in rows if zlib.crc32(key(i).encode()) % 5 != 1]
     c = Counter()
@@ -136,9 +136,9 @@ def check_scores(spark, rows, common):
 
     def want(i, t):
         w = (t or "").encode().lower().split() + ["end"]
-        b = b"\xff\xff" + (t or "").encode() + b"\xff"
+        b = ppm.PAD + (t or "").encode() + b"\xff"
         base = sum(math.log10((c[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w)
-        return i, zlib.crc32(key(i).encode()) % 5 == 1, len(w), sum(c[x] > 0 for x in w), total, round(base, 6), sum(math.log10(p(b[k - 2 : k], b[k])) for k in range(2, len(b)))
+        return i, zlib.crc32(key(i).encode()) % 5 == 1, len(w), sum(c[x] > 0 for x in w), total, round(base, 6), sum(math.log10(p(b[k - ppm.ORDER : k], b[k])) for k in range(ppm.ORDER, len(b)))
 
     order = lambda x: (x[0] is None, x[0], x[2], x[5])
     a = sorted(((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6), x.score) for x in got), key=order)
@@ -150,11 +150,31 @@ def check_scores(spark, rows, common):
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "Ünïcödé 日本"), (5, "a A a b"), (5, "a A a b"), (None, "null id"), (6, "x" * 3000), (7, "a\x00b")]
 
 
-@pytest.mark.parametrize("common", [0, 2, 1 << 16])
-def test_scores(spark, common):
+@pytest.mark.parametrize(("common", "frequent"), [(0, 0), (2, 300), (1 << 16, 1 << 21)])
+def test_scores(spark, common, frequent):
     r = random.Random(common)
     words = ["the", "The", "of", "ring", "élan", "x"] + [f"w{i}" for i in range(40)]
-    check_scores(spark, ODD + [(100 + i, " ".join(r.choice(words) for _ in range(r.randrange(30)))) for i in range(60)], common)
+    check_scores(spark, ODD + [(100 + i, " ".join(r.choice(words) for _ in range(r.randrange(30)))) for i in range(60)], common, frequent)
+
+
+def test_scores_of_long_texts(spark, monkeypatch):
+    """Texts in pieces, and grams sent on before the end."""
+    monkeypatch.setattr(ppm, "CHUNK", 50)
+    monkeypatch.setattr(ppm, "HELD_GRAMS", 20)
+    r = random.Random(1)
+    check_scores(spark, [(i, " ".join(r.choice("ab abc cab bac x yz".split()) for _ in range(r.randrange(200)))) for i in range(40)], 1 << 16, 100)
+
+
+def test_longer_contexts_help(spark):
+    """What two bytes of context leave open is learned from four: the code length falls far below that of order 2."""
+    r = random.Random(2)
+    said = lambda: " ".join(r.choice(["xabcabcz", "yabcabcw", "uabcabcv"]) for _ in range(40)).encode()
+    train, text = [said() for _ in range(60)], said()
+    b = {k: b"\xff" * k + text + b"\xff" for k in (2, ppm.ORDER)}
+    bits = {k: -sum(math.log2(plain_ppm(train, k)(x[i - k : i], x[i])) for i in range(k, len(x))) for k, x in b.items()}
+    rows = [(i, t.decode()) for i, t in zip([i for i in range(200) if fold(i) != 1], train, strict=False)] + [(next(i for i in range(1000, 2000) if fold(i) == 1), text.decode())]
+    got = {x.doc_id: x.score for x in ppm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert abs(-got[rows[-1][0]] / math.log10(2) - bits[ppm.ORDER]) < 0.1 and bits[ppm.ORDER] < 0.7 * bits[2]
 
 
 def test_scores_without_training(spark):
@@ -163,22 +183,28 @@ def test_scores_without_training(spark):
     assert ppm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def all_after(contexts, train):
+    """log10 probabilities of every symbol after some contexts, with all grams of the training texts beside them."""
+    key, n = np.unique(np.concatenate([ppm.grams(list(ppm.pieces_of(t))) for t in train]), return_counts=True)
+    low = np.unique(key & np.uint64(0xFFFFFF), return_inverse=True)
+    ctx, row = np.unique(low[0] >> np.uint64(8), return_inverse=True)
+    dense = np.zeros((len(ctx), 256))
+    np.add.at(dense, (row[low[1]], (key & np.uint64(255)).astype(int)), n)
+    asked = np.array([int.from_bytes(c + bytes([s]), "big") for c in contexts for s in range(256)], np.uint64)
+    both = np.unique(np.r_[key, asked])
+    counts = np.zeros(len(both), np.int64)
+    counts[np.searchsorted(both, key)] = n
+    got = ppm.gram_scores(both, counts, ppm.LowOrders(ctx.astype(np.int64), dense))
+    return got[np.searchsorted(both, asked)].reshape(-1, 256)
+
+
 def test_probabilities_sum_to_one():
-    sums = {}
-    ppm.count_contexts([b"abracadabra", bytes(range(255)), b"", b"aaa"], sums)
-    ctx = np.array(sorted(sums))
-    lut, table = ppm.probabilities(ctx, np.stack([sums[c] for c in ctx.tolist()]).astype(float))
-    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-5) and lut.shape == (1 << 16,)
-
-
-def test_code_length_in_pieces(monkeypatch):
-    sums = {}
-    ppm.count_contexts([b"abracadabra"], sums)
-    ctx = np.array(sorted(sums))
-    lut, table = ppm.probabilities(ctx, np.stack([sums[c] for c in ctx.tolist()]).astype(float))
-    want = ppm.code_length(b"abracadabra xyz", lut, table.ravel())
-    monkeypatch.setattr(ppm, "CHUNK", 4)
-    assert abs(ppm.code_length(b"abracadabra xyz", lut, table.ravel()) - want) < 1e-4
+    train = [b"abracadabra", bytes(range(255)), b"", b"aaa", b"abracax", *[b"zabra" + bytes([s]) for s in range(255)]]
+    contexts = [b"abrac", b"dabra", b"zabra", b"aaaaa", b"\xff" * 5, b"xxbra", b"xxxra", b"xxxxa", b"qqqqq", b"abcde"]
+    p = all_after(contexts, train)
+    assert np.allclose((10.0**p).sum(1), 1, atol=1e-5)
+    plain = plain_ppm(train)
+    assert np.allclose(p, [[math.log10(plain(c, s)) for s in range(256)] for c in contexts], atol=1e-5)
 
 
 # ---- pieces
