@@ -53,7 +53,7 @@ SAMPLE_DOCS = 4000
 #: Bytes of text worked on at a time.
 CHUNK = 1 << 22
 #: Grams in the broadcast table, and those a task holds before it sends them on.
-FREQUENT, HELD_GRAMS = 1 << 21, 1 << 22
+FREQUENT, HELD_GRAMS = 1 << 20, 1 << 21
 FOLDS, HELD = 5, 1
 
 
@@ -293,8 +293,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 def scored_grams(counts: DataFrame) -> DataFrame:
     """counts, a written table (g, n); adds p, the log10 probability of the symbol after its context."""
     spark = counts.sparkSession
-    low = counts.filter("n > 0").groupBy(F.col("g").bitwiseAND(0xFFFFFF).alias("t")).agg(F.sum("n").alias("n")).toPandas()  # three bytes
-    t, n = low["t"].to_numpy(np.int64), low["n"].to_numpy()
+    low = counts.filter("n > 0").groupBy(F.col("g").bitwiseAND(0xFFFFFF).alias("t")).agg(F.sum("n").alias("n")).toArrow()  # three bytes
+    t, n = low["t"].to_numpy(), low["n"].to_numpy()
     ctx, row = np.unique(t >> 8, return_inverse=True)
     dense = np.zeros((len(ctx), 256), np.float32 if n.sum() < 1 << 24 else np.float64)
     dense[row, t & 255] = n
@@ -324,8 +324,8 @@ def _frequent(scored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if most > FREQUENT:
             break
         at = r["size"]
-    got = scored.filter((F.col("n") > 0) & (size >= at)).select("g", "p").toPandas()
-    return got["g"].to_numpy(np.int64), got["p"].to_numpy(np.float32)
+    got = scored.filter((F.col("n") > 0) & (size >= at)).select("g", "p").toArrow()
+    return got["g"].to_numpy(), got["p"].to_numpy()
 
 
 def score(docs: DataFrame) -> DataFrame:
