@@ -2,7 +2,8 @@
 
 One pass over the documents without a shuffle; memory is bounded by a document.
 
-1. Keyword prefilter: a regex over the raw text. Most documents stop here.
+1. Keyword prefilter: a regex over the raw text, a trie of all keywords at the beginnings of
+   words. Most documents stop here.
 2. Words of the rest; for each keyword word the ``REACH`` words on either side.
 3. Only the rules of that keyword, and only if their second literal is in the
    window, try their two patterns. A detection is an interval of words.
@@ -31,7 +32,8 @@ from .license_rules import Rule, rules
 #: Words that a match may take on either side of its keyword.
 REACH = 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+RAW_WORD = WORD + "+"
 
 
 def _table(found: list[Rule]) -> Column:
@@ -58,6 +60,14 @@ def _better(e: Column, d: Column) -> Column:
     return F.struct(e["priority"], e["end"] - e["start"], -e["id"], -e["start"]) > F.struct(d["priority"], d["end"] - d["start"], -d["id"], -d["start"])
 
 
+def _alternatives(words: list[str]) -> str:
+    """A pattern of any of some words, common beginnings once, so that few branches are tried at a place."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    return "|".join(re.escape(c) + (f"(?:{_alternatives(rest)})" if len(rest) > 1 else re.escape(rest[0])) if c else "" for c, rest in sorted(by.items(), reverse=True))
+
+
 def words_of(pattern: str) -> float:
     """The most words that a side's pattern can take: blanks that it can match."""
 
@@ -111,7 +121,7 @@ def scanned(rows: DataFrame, found: list[Rule] | None = None) -> DataFrame:
     table = _table(found)
     t = F.coalesce(F.col("text"), F.lit(""))
     d = rows.withColumn("n_words", F.regexp_count(t, F.lit(RAW_WORD)).cast("long"))
-    gate = t.rlike("(?i)(?:" + "|".join(keywords) + ")")
+    gate = t.rlike(f"(?i)(?<!{WORD})(?:{_alternatives(keywords)})(?!{WORD})")
     words = F.when(gate, F.filter(F.split(F.regexp_replace(lower_ascii(t), SEPARATORS, " "), " "), lambda w: w != ""))
     d = d.withColumn("w", F.coalesce(words, F.array().cast("array<string>")))
     kw = F.array(*[F.lit(k) for k in keywords])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kvtide.llm import license_scan, mixing, quality, simhash, suffix_dedup, url_filter
-from kvtide.llm.license_rules import Rule, rules
+from kvtide.llm.license_rules import SIGNATURES, Rule, _signature, rules
 
 ODD = [
     (1, None, None, None),
@@ -90,6 +90,31 @@ def test_containment_and_priority(spark):
     assert sorted((d.start, d.end, d.label) for d in r.detections) == [(0, 2, "wide"), (1, 1, "narrow"), (3, 3, "narrow")] and r.score == 0.5
 
 
+SENTENCES = [(label, x) for label, sentences in SIGNATURES.items() for x in sentences]
+
+
+def test_each_signature_and_its_near_miss(spark):
+    """Every sentence is found, in prose and with other signs between its words; with one of its words changed it isn't."""
+    found = [_signature(label, x) for label, x in SENTENCES]
+    assert len(SENTENCES) > 150 and len({(r.keyword, r.left, r.right) for r in found}) == len(found)
+    rows, r = [], random.Random(9)
+    for i, (_, x) in enumerate(SENTENCES):
+        plain = x.replace("[", "").replace("]", "").split()
+        rows.append((3 * i, "Some Words. " + ", ".join(w.upper() if k % 2 else w for k, w in enumerate(plain)) + "; more"))
+        at = plain.index(found[i].keyword) if "[" not in x else next(k for k, w in enumerate(x.split()) if "[" in w)
+        reach = [k for k in range(len(plain)) if k != at and abs(k - at) <= 16]
+        near = list(plain)
+        near[r.choice(reach)] = "otherwise-not"
+        rows.append((3 * i + 1, " ".join(near)))
+        rows.append((3 * i + 2, " ".join(plain[:at] + plain[at + 1 :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {x.doc_id: {d.id for d in x.license.detections} for x in license_scan.scan(df, found).collect()}
+    for i in range(len(SENTENCES)):
+        inside = {j for j in range(len(found)) if found[j].left + found[j].keyword + found[j].right in found[i].left + found[i].keyword + found[i].right}
+        assert i in got[3 * i] or got[3 * i] & inside, SENTENCES[i]
+        assert i not in got[3 * i + 1] and i not in got[3 * i + 2], SENTENCES[i]
+
+
 def test_rules_that_reach_too_far_are_refused(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     for right in (r"(?: \S+){17}", r"(?: a)*", r"(?: a| b c){9}", "[^a]{20}"):
