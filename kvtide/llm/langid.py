@@ -1,8 +1,8 @@
 """Language identification by a byte convolutional network trained here in numpy.
 
 Bytes are folded to 128 classes. A text is cut into windows of ``WINDOW``
-bytes, all of them used; in each, filters of widths 2, 4 and 6 with a
-stride of 2 bytes are max-pooled, rectified and fed to a softmax. A document's prediction
+bytes, all of them used; in each, filters of widths 2, 4 and 6 at
+every byte are max-pooled, rectified and fed to a softmax. A document's prediction
 has the highest mean probability over its windows. Since a filter is a sum over
 its bytes, prediction looks byte pairs up in a table of 16384 rows.
 
@@ -92,8 +92,8 @@ class Network:
         """Gradients of the cross entropy on a batch of windows."""
         pooled, best = [], []
         for w in WIDTHS:
-            n = (WINDOW - w) // 2 + 1
-            pre = sum(self.p[f"w{w}"][k][x[:, k : k + 2 * n - 1 : 2]] for k in range(w)) + self.p[f"b{w}"]
+            n = WINDOW - w + 1
+            pre = sum(self.p[f"w{w}"][k][x[:, k : k + n]] for k in range(w)) + self.p[f"b{w}"]
             best.append(pre.argmax(1))
             pooled.append(np.take_along_axis(pre, best[-1][:, None], 1)[:, 0])
         z = np.concatenate(pooled, 1)
@@ -109,7 +109,7 @@ class Network:
             g[f"b{w}"] = dj.sum(0)
             gw = np.zeros_like(self.p[f"w{w}"])
             for k in range(w):
-                np.add.at(gw[k], (x[rows, 2 * best[j] + k], np.broadcast_to(cols, dj.shape)), dj)
+                np.add.at(gw[k], (x[rows, best[j] + k], np.broadcast_to(cols, dj.shape)), dj)
             gw[:, 0] = 0
             g[f"w{w}"] = gw
         return g
@@ -144,13 +144,13 @@ class Network:
         out = np.empty((len(x), len(self.langs)), np.float32)
         for a in range(0, len(x), AT_ONCE):
             c = x[a : a + AT_ONCE]
-            pair = c[:, ::2].astype(np.intp) * CLASSES + c[:, 1::2]
+            pair = c[:, :-1].astype(np.intp) * CLASSES + c[:, 1:]
             pooled = []
             for w in WIDTHS:
-                n = pair.shape[1] - w // 2 + 1
+                n = WINDOW - w + 1
                 pre = np.take(tables[w][0], pair[:, :n], axis=0)
                 for k, t in enumerate(tables[w][1:], 1):
-                    pre += np.take(t, pair[:, k : k + n], axis=0)
+                    pre += np.take(t, pair[:, 2 * k : 2 * k + n], axis=0)
                 while pre.shape[1] > 1:  # halves, so that the maximum runs over long rows
                     half = pre.shape[1] // 2
                     low = np.maximum(pre[:, :half], pre[:, half : 2 * half])
@@ -188,12 +188,15 @@ def train(docs: DataFrame) -> Network | None:
 
     # at most SAMPLE ids, so their broadcast is bounded
     picked = ok.join(F.broadcast(ids), (F.col("doc_id") == F.col("i")) & (F.col("lang") == F.col("l"))).select("text", "lang")
-    got = picked.mapInArrow(lean(cut), "lang string, data binary").limit(SAMPLE * PER_DOC).toPandas().sort_values(["lang", "data"])
-    if got.empty:
+    cuts = picked.mapInArrow(lean(cut), "lang string, data binary")
+    # repeated rows can be more than the sample: the windows of lowest hash, so that reruns agree
+    got = cuts.orderBy(F.xxhash64("data", "lang"), "data", "lang").limit(SAMPLE * PER_DOC).toArrow().sort_by([("lang", "ascending"), ("data", "ascending")])
+    if not len(got):
         return None
-    langs = sorted(set(got["lang"]))
-    x, n = windows([bytes(t) for t in got["data"]])
-    y = np.repeat([langs.index(c) for c in got["lang"]], n)
+    spoken = got["lang"].to_pylist()
+    langs = sorted(set(spoken))
+    x, n = windows(got["data"].to_pylist())
+    y = np.repeat([langs.index(c) for c in spoken], n)
     return Network(langs).fit(x, y)
 
 

@@ -6,7 +6,8 @@ gives the same ids as the library; the best path by summed scores wouldn't.
 
 A batch of texts is encoded together. No piece holds a blank mark after
 another character, and none holds a line feed with others, so texts
-split there into units whose encodings don't depend on each other, and only the
+split there into units whose encodings don't depend on each other; units over ``LONG``
+characters also split between two characters that no piece holds side by side. Only the
 distinct units of a batch are encoded:
 
 1. Index: the units, joined, and a suffix array over their characters, sorted by
@@ -17,14 +18,14 @@ distinct units of a batch are encoded:
 4. Relax: adjacent symbols whose joint edge exists are merged, the best
    edge of every unit at a time; units over ``LONG`` characters with a heap.
 
-Decoding looks pieces up and joins their bytes. Memory is bounded by the batch
-and by ``KNOWN`` remembered units; a text is cut at unit borders only when it is joined,
-never in its result.
+Decoding looks pieces up and joins their bytes. Memory is bounded by the batch, by
+``INDEXED`` characters an index, and by ``KNOWN`` remembered units of ``KNOWN_CHARS`` characters in all; a
+text longer than a batch is worked on in slices that end where units do, with the same result.
 
 Defined cases: null text is empty and has no ids; U+2581 in a text decodes to
-a blank, as in the library; a unit may be as long as a text without blanks;
-repeated rows each get a row; an empty table gives an empty result; other
-columns don't matter.
+a blank, as in the library; a stretch that can't be split, such as one letter
+repeated, is one unit and takes some 250 bytes a character; repeated rows each get a row; an
+empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -43,8 +44,10 @@ from .common import lean, read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Characters of text in a batch, characters of units indexed at a time, units remembered, longest unit merged in rounds.
-BATCH, INDEXED, KNOWN, LONG = 1 << 21, 1 << 19, 600_000, 48
+#: Characters of text in a batch, characters of units indexed at a time, units remembered and their characters, longest unit merged in rounds.
+BATCH, INDEXED, KNOWN, KNOWN_CHARS, LONG = 1 << 21, 1 << 19, 600_000, 1 << 23, 48
+#: Ids decoded at a time.
+DECODED = 1 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -81,6 +84,7 @@ class Coder:
         self.byte_ids = v.byte_ids
         marks = all(not (a != BLANK and b == BLANK) for p in self.names for a, b in zip(p, p[1:], strict=False))
         feeds = all("\n" not in p for p in self.names)
+        self.pairs = {p[k : k + 2] for p in self.names for k in range(len(p) - 1)}
         self.units = re.compile(rf"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+" if marks and feeds else r"(?s).+")
         self.bytes = [(p.replace(BLANK, " ").encode() if ok else b"") for p, ok in zip(v.pieces, v.plain, strict=True)]
         for b, i in enumerate(v.byte_ids):
@@ -89,6 +93,7 @@ class Coder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.known_chars = 0
         self.flat, self.count = [], []
 
     # ---- suffix array and edges
@@ -254,26 +259,54 @@ class Coder:
         self.flat.append(ids)
         self.count.append(total)
 
+    def _split(self, text: str) -> list[str]:
+        """The units of a prepared text."""
+        out = []
+        for u in self.units.findall(text):
+            if len(u) <= LONG:
+                out.append(u)
+                continue
+            at = [0, *[k for k in range(1, len(u)) if u[k - 1 : k + 1] not in self.pairs], len(u)]
+            out += [u[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
+
+    def _slices(self, text: str) -> Iterator[str]:
+        """A text with its marks, in slices of about a batch that end where units do."""
+        at = 0
+        while at < len(text):
+            end = min(len(text), at + BATCH)
+            while end < len(text) and text[end - 1 : end + 1].replace(" ", BLANK) in self.pairs:
+                end += 1
+            yield ("" if at else BLANK) + text[at:end].replace(" ", BLANK)
+            at = end
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of each text's ids."""
-        if len(self.known) > KNOWN:
+        if len(texts) == 1 and len(texts[0]) > BATCH:
+            ids = np.concatenate([self._encode([x])[0] for x in self._slices(texts[0])])
+            return ids, np.array([len(ids)], np.int64)
+        return self._encode([BLANK + t.replace(" ", BLANK) if t else "" for t in texts])
+
+    def _encode(self, prepared: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > KNOWN or self.known_chars > KNOWN_CHARS:
             self.forget()
-        split = [self.units.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        split = [self._split(t) if t else [] for t in prepared]
         new: dict[str, None] = {}
         for s in split:
             new.update(dict.fromkeys(s))
         fresh, size = [], 0
         for u in new:
             if u not in self.known:
-                fresh.append(u)
-                size += len(u) + 1
-                if size > INDEXED:
+                if fresh and size + len(u) + 1 > INDEXED:
                     self._learn(fresh)
                     fresh, size = [], 0
+                fresh.append(u)
+                size += len(u) + 1
+                self.known_chars += len(u)
         if fresh:
             self._learn(fresh)
         if not self.count:
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(prepared), np.int64)
         self.flat, self.count = [np.concatenate(self.flat)], [np.concatenate(self.count)]
         flat, count = self.flat[0], self.count[0]
         start = np.cumsum(count) - count
@@ -285,9 +318,10 @@ class Coder:
         done = np.r_[0, np.cumsum(many)][np.cumsum([0, *number])]
         return ids, np.diff(done)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids, without the blank that encoding puts before it."""
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int32)
+        text = b"".join(b"".join(map(self.bytes.__getitem__, ids[k : k + DECODED].tolist())) for k in range(0, len(ids), DECODED)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -321,7 +355,7 @@ def op5_pieces(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFram
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def row(b: pa.RecordBatch, texts: list[str], ids: list[np.ndarray], coder: Coder) -> pa.RecordBatch:
-        ok = [coder.decode(x.tolist()) == t.replace(BLANK, " ") for x, t in zip(ids, texts, strict=True)]
+        ok = [coder.decode(x) == t.replace(BLANK, " ") for x, t in zip(ids, texts, strict=True)]
         out = [[len(x) for x in ids], [hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], ok]
         return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.bool_()), strict=True)]], ["doc_id", "n_tokens", "ids_sha256", "decoded_ok"])
 

@@ -161,9 +161,10 @@ def lexicon(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, counts
 
 
-def judge(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (probability of block by naive Bayes)."""
-    d = written(parsed(pages).withColumn("rid", F.monotonically_increasing_id()), "urls")
+def judge(pages: DataFrame, learn: Column | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (probability of block by naive Bayes). learn: the ruled pages to learn from, by page_id, for measuring on the others; all by default."""
+    ruled = parsed(pages).withColumn("rid", F.monotonically_increasing_id())
+    d = written(ruled.withColumn("verdict", F.col("said")).withColumn("said", F.when(F.lit(True) if learn is None else learn, F.col("said"))), "urls")
     label = F.filter(F.split("host", "[0-9.:_-]+"), lambda x: x != "")
     hosts = d.select("host").distinct().select("host", label.alias("all"))
     labels = hosts.select(F.explode(F.array_distinct("all")).alias("n")).groupBy("n").agg(F.count("*").alias("hosts"))
@@ -191,7 +192,7 @@ def judge(pages: DataFrame) -> DataFrame:
     sums_of = t.join(known, F.col("token") == F.col("known"), "left").groupBy("rid").agg(F.sum(F.coalesce("ratio", F.lit(0.0)) + F.lit(rest)).alias("s")).withColumnRenamed("rid", "r")
     log_odds = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.lit(prior) + F.coalesce("s", F.lit(0.0))))
     out = d.join(sums_of, F.col("rid") == F.col("r"), "left").withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds)))
-    verdict = F.coalesce("said", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
+    verdict = F.coalesce("verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 

@@ -64,8 +64,8 @@ def test_network_gradients():
     def loss():
         pooled = []
         for w in langid.WIDTHS:
-            n = (langid.WINDOW - w) // 2 + 1
-            pooled.append((sum(net.p[f"w{w}"][k][x[:, k : k + 2 * n - 1 : 2]] for k in range(w)) + net.p[f"b{w}"]).max(1))
+            n = langid.WINDOW - w + 1
+            pooled.append((sum(net.p[f"w{w}"][k][x[:, k : k + n]] for k in range(w)) + net.p[f"b{w}"]).max(1))
         return -np.log(net._softmax(np.maximum(np.concatenate(pooled, 1), 0))[np.arange(4), y]).mean()
 
     g = net.step(x, y)
@@ -86,11 +86,23 @@ def test_tables_equal_filters():
     assert n.tolist() == [1, 4, 2]
     pooled = []
     for w in langid.WIDTHS:
-        m = (langid.WINDOW - w) // 2 + 1
-        pooled.append((sum(net.p[f"w{w}"][k][x[:, k : k + 2 * m - 1 : 2]] for k in range(w)) + net.p[f"b{w}"]).max(1))
+        m = langid.WINDOW - w + 1
+        pooled.append((sum(net.p[f"w{w}"][k][x[:, k : k + m]] for k in range(w)) + net.p[f"b{w}"]).max(1))
     assert np.allclose(net.predict(x, net.tables()), net._softmax(np.maximum(np.concatenate(pooled, 1), 0)), atol=1e-5)
 
 
+@tables
+def test_language_query_on_held_out_documents(spark):
+    """The query itself, held against the labels that it never learned from."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    want = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect()}
+    got = langid.op4_langid(spark, sf).collect()
+    assert len(got) == len(want)
+    held = [(r.lang_pred, want[r.doc_id].lang) for r in got if r.held_out and want[r.doc_id].lang]
+    assert all(r.held_out == (fold(r.doc_id) == 0) for r in got)
+    assert len(held) > 100 and sum(a == b for a, b in held) / len(held) > 0.97
+
+
 # ---- PPM
 
 
@@ -246,6 +258,36 @@ def test_long_units_and_small_indexes(monkeypatch, library):
         assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == [library.encode(t) for t in texts]
 
 
+@needs_model
+def test_texts_in_slices(monkeypatch, library):
+    """A text longer than a batch has the library's ids, wherever its slices end."""
+    r = random.Random(8)
+    words = ["the", "internationalization", " ", "  ", "日本語の", "q7Zx9", "\n", "▁", "a", "x" * 70, "=-" * 30]
+    texts = ["".join(r.choice(words) + r.choice([" ", ""]) for _ in range(300)) for _ in range(4)]
+    for batch in (1, 7, 100):
+        monkeypatch.setattr(pieces, "BATCH", batch)
+        monkeypatch.setattr(pieces, "DECODED", 10)
+        c = pieces.Coder(pieces.Vocabulary.load())
+        for t in texts:
+            ids, many = c.encode([t])
+            assert ids.tolist() == library.encode(t) and many.tolist() == [len(ids)] and c.decode(ids) == t.replace("▁", " ")
+
+
+@needs_model
+def test_a_long_text_without_blanks_takes_little_memory(library):
+    """A million signs of random letters and digits: split where no piece reaches, and indexed a part at a time."""
+    import tracemalloc
+
+    r = random.Random(3)
+    t = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(1_000_000))
+    c = pieces.Coder(pieces.Vocabulary.load())
+    tracemalloc.start()
+    ids, _ = c.encode([t])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.tolist() == library.encode(t) and peak < 400e6
+
+
 @needs_model
 @tables
 def test_encoding_query(spark, library):
