@@ -8,10 +8,10 @@ The index has two parts. Pivots from a bounded sample are the root's entries; ev
 distinct vector goes to the cell of its nearest pivot, and a cell above
 ``CELL`` vectors is dealt over several trees. Within a task a
 cell's tree has pages of at most ``PAGE`` entries, each with its
-covering radius and its distance to the parent's routing vector. A search keeps a
-heap of pages by their least possible distance; from the stored distance to the
+covering radius and its distance to the parent's routing vector. A search goes to pages in the order of
+their least possible distances; from the stored distance to the
 parent, the triangle inequality rules out entries before any distance to them is
-computed. Round one searches each query's own cell; round two only the
+computed. The queries of a task go best-first side by side, so that those that meet in a page are scored together. Round one searches each query's own cell; round two only the
 cells whose ball reaches within the query's k-th distance so far.
 
 Copies of a vector are one entry with its k + 1 smallest ids, which is all
@@ -27,7 +27,6 @@ candidate gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Callable
 
@@ -48,17 +47,23 @@ CELL, MAX_CELLS, PAGE, FAN, BLOCK, TREE = 4096, 1024, 256, 16, 1024, 1 << 16
 SAMPLE = 8192
 #: Slack for rounding in distances of doubles; leaves are scored in exact integers.
 SLACK = 1e-7
+NONE = np.iinfo(np.int64).min
 
 
 class MTree:
     """A tree over integer vectors, built in bulk."""
 
     def __init__(self, vecs: np.ndarray, ids: list[np.ndarray], top2: float) -> None:
-        self.vecs, self.ids, self.top2 = vecs, ids, top2
-        flat = vecs.astype(np.float64)
-        self.aug = np.c_[flat, np.sqrt(np.maximum(top2 - (flat**2).sum(1), 0))]
-        self.exact = float(np.abs(flat).max(initial=0)) ** 2 * max(1, vecs.shape[1]) < 2**52
-        self.flat = flat
+        # in the order of their smallest ids, so that a place in the tree breaks ties
+        order = np.argsort([x[0] for x in ids], kind="stable")
+        self.vecs, self.top2 = vecs[order], top2
+        self.n_ids = np.array([len(ids[j]) for j in order], np.int64)
+        self.all_ids = np.concatenate([ids[j] for j in order])
+        self.first_id = np.cumsum(self.n_ids) - self.n_ids
+        self.flat = self.vecs.astype(np.float64)
+        norms = (self.flat**2).sum(1)
+        self.longest = math.sqrt(float(norms.max(initial=0)))
+        self.aug = np.c_[self.flat, np.sqrt(np.maximum(top2 - norms, 0))]
         self.computed = 0
         self.root = self._node(np.arange(len(vecs)), 0)
 
@@ -87,55 +92,94 @@ class MTree:
         kids = [self._node(g, int(p)) for p, g in groups]
         return node | {"kids": kids, "to": self._dist(np.array([k["pivot"] for k in kids]), pivot), "radii": np.array([k["radius"] for k in kids])}
 
-    def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        self.computed += len(at)
-        return (self.flat[at] @ q.astype(np.float64)).astype(np.int64) if self.exact and np.abs(q).max(initial=0) ** 2 * max(1, len(q)) < 2**52 else self.vecs[at] @ q
+    def _leaves(self, aug: np.ndarray, far: np.ndarray) -> list[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
+        """Leaves with the queries that may find something there, their least possible distances, and their distances to the leaf's pivot."""
+        out, stack = [], [(self.root, np.arange(len(aug)), np.sqrt(((aug - self.aug[self.root["pivot"]]) ** 2).sum(1)))]
+        while stack:
+            node, at, d = stack.pop()
+            if "kids" not in node:
+                out.append((node, at, np.maximum(0.0, d - node["radius"]), d))
+                continue
+            for kid, to, radius in zip(node["kids"], node["to"], node["radii"], strict=True):
+                ok = np.abs(d - to) - radius <= far[at]  # no distance computed yet
+                some = at[ok]
+                self.computed += len(some)
+                dk = np.sqrt(((aug[some] - self.aug[kid["pivot"]]) ** 2).sum(1))
+                go = dk - radius <= far[some]
+                if go.any():
+                    stack.append((kid, some[go], dk[go]))
+        return out
+
+    def search_all(self, q: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For queries (n, dim), the k best (query, score, id), ties to the smaller id, of those with a score of at least a query's floor (nan: none).
+
+        Best-first for all queries at once: each round, every query goes to its nearest leaf that is left, and
+        those that meet in a leaf are scored together; a query stops when its next leaf is too far.
+        """
+        n, flat = len(q), q.astype(np.float64)
+        q2 = (flat**2).sum(1)
+        bound = self.longest * math.sqrt(float(q2.max(initial=0))) + 1
+        bits = max(1, (len(self.vecs) - 1).bit_length())
+        exact, packed = bound * 4 < 2**53, bound < 2 ** (62 - bits)
+        reach = lambda at, s: np.sqrt(np.maximum(q2[at] + self.top2 - 2.0 * s, 0.0)) * (1 + SLACK) + SLACK
+        every = np.arange(n)
+        far = np.where(np.isnan(floors), math.inf, reach(every, np.nan_to_num(floors)))
+        least = np.where(np.isnan(floors), NONE, np.nan_to_num(floors)).astype(np.int64)
+        best_s, best_at = np.full((n, k), NONE), np.full((n, k), -1)
+        leaves = self._leaves(np.c_[flat, np.zeros(n)], far)
+        leaf = np.repeat(np.arange(len(leaves)), [len(x[1]) for x in leaves])
+        of, low, d = (np.concatenate([x[j] for x in leaves]) for j in (1, 2, 3)) if leaves else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        order = np.lexsort((low, of))
+        leaf, of, low, d = (x[order] for x in (leaf, of, low, d))
+        start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
+        turn = np.arange(len(of)) - np.repeat(start, np.diff(np.r_[start, len(of)]))
+        for r in range(int(turn.max(initial=-1)) + 1):
+            now = np.flatnonzero(turn == r)
+            now = now[low[now] <= far[of[now]]]
+            now = now[np.argsort(leaf[now], kind="stable")]
+            for group in np.split(now, np.flatnonzero(np.diff(leaf[now])) + 1):
+                if not len(group):
+                    continue
+                node, at = leaves[leaf[group[0]]][0], of[group]
+                a = np.searchsorted(node["to"], d[group] - far[at]).min()
+                b = np.searchsorted(node["to"], d[group] + far[at], "right").max()
+                entries = node["entries"][a:b]
+                if not len(entries):
+                    continue
+                self.computed += len(entries) * len(at)
+                s = (flat[at] @ self.flat[entries].T).astype(np.int64) if exact else q[at] @ self.vecs[entries].T
+                place = np.where(s >= least[at][:, None], entries[None], -1)
+                s = np.concatenate([best_s[at], np.where(place >= 0, s, NONE)], 1)
+                best_s[at], best_at[at] = _best(s, np.concatenate([best_at[at], place], 1), k, bits if packed else None)
+                full = best_at[at].min(1) >= 0
+                done = at[full]
+                least[done] = best_s[done].min(1)
+                far[done] = reach(done, least[done].astype(np.float64))
+        row, col = np.nonzero(best_at >= 0)
+        at, s = best_at[row, col], best_s[row, col]
+        many = self.n_ids[at]
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        row, s, i = np.repeat(row, many), np.repeat(s, many), self.all_ids[np.repeat(self.first_id[at], many) + nth]
+        order = np.lexsort((i, -s, row))
+        row, s, i = row[order], s[order], i[order]
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+        keep = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)])) < k
+        return row[keep], s[keep], i[keep]
 
     def search(self, q: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (score, id), ties to the smaller id, of those with a score of at least floor."""
-        q2 = float((q.astype(np.float64) ** 2).sum())
-        aug = np.r_[q.astype(np.float64), 0.0]
-        reach = lambda s: math.sqrt(max(q2 + self.top2 - 2.0 * s, 0.0)) * (1 + SLACK) + SLACK
-        best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        least = floor
-        far = math.inf if floor is None else reach(floor)
-        d = float(np.sqrt(((self.aug[self.root["pivot"]] - aug) ** 2).sum()))
-        heap, n = [(max(0.0, d - self.root["radius"]), 0, d, self.root)], 0
-        while heap:
-            low, _, d, node = heapq.heappop(heap)
-            if low > far:
-                break
-            if "kids" in node:
-                ok = np.flatnonzero(np.abs(d - node["to"]) - node["radii"] <= far)  # no distance computed yet
-                if len(ok):
-                    self.computed += len(ok)
-                    at = np.array([node["kids"][j]["pivot"] for j in ok])
-                    ds = np.sqrt(((self.aug[at] - aug) ** 2).sum(1))
-                    for j, dj in zip(ok.tolist(), ds.tolist(), strict=True):
-                        if (x := max(0.0, dj - node["kids"][j]["radius"])) <= far:
-                            n += 1
-                            heapq.heappush(heap, (x, n, dj, node["kids"][j]))
-                continue
-            to = node["to"]
-            a, b = (0, len(to)) if far == math.inf else (np.searchsorted(to, d - far), np.searchsorted(to, d + far, "right"))
-            at = node["entries"][a:b]
-            if not len(at):
-                continue
-            s = self.scores(at, q)
-            if least is not None:
-                good = s >= least
-                at, s = at[good], s[good]
-            if not len(at):
-                continue
-            more = [self.ids[j] for j in at.tolist()]
-            s = np.r_[best_s, np.repeat(s, [len(x) for x in more])]
-            i = np.concatenate([best_i, *more])
-            order = np.lexsort((i, -s))[:k]
-            best_s, best_i = s[order], i[order]
-            if len(best_s) == k:
-                least = int(best_s[-1])
-                far = reach(least)
-        return best_s, best_i
+        """The k best (score, id) of one query."""
+        return self.search_all(q[None], k, np.array([np.nan if floor is None else float(floor)]))[1:]
+
+
+def _best(s: np.ndarray, at: np.ndarray, k: int, bits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row by score, then by place; a place of -1 is none. bits: of a place, if it fits into a long beside the score."""
+    if bits is None:
+        order = np.stack([np.lexsort((a, -x, a < 0)) for x, a in zip(s, at, strict=True)])[:, :k]
+        return np.take_along_axis(s, order, 1), np.take_along_axis(at, order, 1)
+    mask = (1 << bits) - 1
+    key = np.where(at >= 0, (s << bits) + (mask - at), NONE)
+    key = np.partition(key, key.shape[1] - k, axis=1)[:, -k:]
+    return np.where(key > NONE, key >> bits, NONE), np.where(key > NONE, mask - (key & mask), -1)
 
 
 def quantized(df: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -155,15 +199,11 @@ def _matrix(col: pd.Series, dim: int) -> np.ndarray:
 
 def _searcher(dim: int, top2: float, k: int) -> Callable:
     def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        keys, ids, scores = ([np.zeros(0, np.int64)] for _ in range(3))
-        if len(queries) and len(index):
-            tree = MTree(_matrix(index["v"], dim), [np.asarray(x, np.int64) for x in index["ids"]], top2)
-            for key, q, floor in zip(queries["qkey"], _matrix(queries["qv"], dim), queries["floor"], strict=True):
-                s, i = tree.search(q, k, None if pd.isna(floor) else int(floor))
-                keys.append(np.full(len(i), key, np.int64))
-                ids.append(i)
-                scores.append(s)
-        return pd.DataFrame({"qkey": np.concatenate(keys), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)})
+        if not len(queries) or not len(index):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("qkey", "vec_id", "score")})
+        tree = MTree(_matrix(index["v"], dim), [np.asarray(x, np.int64) for x in index["ids"]], top2)
+        row, s, i = tree.search_all(_matrix(queries["qv"], dim), k, queries["floor"].to_numpy(np.float64, na_value=np.nan))
+        return pd.DataFrame({"qkey": queries["qkey"].to_numpy()[row], "vec_id": i, "score": s})
 
     return run
 

@@ -395,6 +395,22 @@ def test_bounds_spare_distances():
     assert list(zip((-s).tolist(), i.tolist(), strict=True)) == want and t.computed < 2000
 
 
+def test_many_queries_as_one_by_one():
+    """Side by side, with floors, copies, ties and scores too large to pack, against all scores."""
+    r = np.random.default_rng(5)
+    for scale in (3, 1 << 24):
+        v = np.unique(r.integers(-scale, scale, (900, 4)), axis=0)
+        ids = [np.sort(r.choice(10**6, r.integers(1, 4), replace=False)) for _ in v]
+        t = mtree.MTree(v, ids, float((v.astype(float) ** 2).sum(1).max()))
+        q = r.integers(-scale, scale, (40, 4))
+        every = q @ v.T
+        floors = np.where(np.arange(40) % 3 == 0, np.nan, np.sort(every, 1)[:, -7].astype(float))
+        row, s, i = t.search_all(q, 9, floors)
+        for j in range(len(q)):
+            want = sorted((-int(x), int(y)) for x, of in zip(every[j], ids, strict=True) for y in of if np.isnan(floors[j]) or x >= floors[j])[:9]
+            assert list(zip((-s[row == j]).tolist(), i[row == j].tolist(), strict=True)) == want
+
+
 # ---- the pipeline
 
 
