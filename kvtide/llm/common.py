@@ -31,9 +31,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; on a cluster spark.checkpoint.dir names it."""
+    """The folder that all executors share; on a cluster spark.checkpoint.dir must name it."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:  # tests on one machine
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kvtide-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -52,21 +54,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(table: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A written table of narrow rows, marked for broadcast if it was counted to have few; otherwise the join is left to the optimizer, which splits skewed keys."""
-    return F.broadcast(table) if table.count() <= rows else table
+def small(table: DataFrame, rows: int = 100_000, size: int = 8 << 20) -> DataFrame:
+    """A written table, marked for broadcast if its rows were counted and its files measured to be few; otherwise the join is left to the optimizer, which splits skewed keys."""
+    held = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(table) if held <= size and table.count() <= rows else table
 
 
-def sweep(spark: SparkSession) -> int:
-    """Deletes the tables that written() made in this process, once nothing reads them any more; returns their number."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    n = 0
-    while _WRITTEN:
-        p = path(_WRITTEN.pop())
+def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes the tables that written() made in this process, but for the first since and the last keep, once nothing reads them any more; returns their number."""
+    path, n = spark._jvm.org.apache.hadoop.fs.Path, 0
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for x in gone:
+        p = path(x)
         n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
     return n
 
 
+def swept_from() -> int:
+    """The number of tables written so far, to sweep those that come after."""
+    return len(_WRITTEN)
+
+
 def boxed(docs: DataFrame) -> DataFrame:
     """The rows as one column, ``row``, so that no name of an operator's working columns can clash with theirs; ``row.*`` brings them back."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

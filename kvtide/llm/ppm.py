@@ -48,7 +48,8 @@ from .common import lean, parts_for, read, written
 
 ORDER = 5
 PAD = b"\xff" * ORDER
-COMMON = 1 << 16
+#: Frequent tokens in the broadcast table, and bytes of each.
+COMMON, COMMON_BYTES = 1 << 16, 64
 SAMPLE_DOCS = 4000
 #: Bytes of text worked on at a time.
 CHUNK = 1 << 22
@@ -215,7 +216,7 @@ def _common(docs: DataFrame) -> list[bytes]:
         for b in batches:
             for t in b.column(0):
                 c.update(words_of(t.as_py()))
-        top = c.most_common(COMMON)
+        top = [(w, k) for w, k in c.most_common(COMMON) if len(w) <= COMMON_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([k for _, k in top], pa.int64())], ["w", "n"])
 
     if not n:
