@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvtide.llm.common import read, written
+from kvtide.llm.common import read, sweep, swept_from, written
 from kvtide.llm.mixing import stage_mixing
 from kvtide.llm.pieces import stage_pieces
 from kvtide.llm.quality import stage_quality
@@ -30,9 +30,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages applied to documents."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), swept_from()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, f"stage{i}")
+            sweep(spark, before, keep=1)  # what led to this table isn't read again
     return docs
