@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -187,8 +188,11 @@ def kv_mget_bulk(spark, sf):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (1, 7, 32, 4999)")
 def kv_lookup_orders(spark, sf):
-    keys = spark.createDataFrame([(k,) for k in (1, 7, 32, 4999, 32)], "o_orderkey long")
-    return spark.read.parquet(f"{sf}/orders.parquet").join(keys, "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice")
+    """Orders as a log of one version each, and those of four keys that are there."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    log = o.select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("seq"), F.lit(1).cast("byte").alias("op"), F.lit(0).cast("long").alias("expires_at_ms"))
+    keys = spark.createDataFrame(list(enumerate((1, 7, 32, 4999))), "pos int, key long")
+    return R.multi_get(log, keys, as_of_ms=AS_OF).filter("value IS NOT NULL").select(F.col("key").alias("o_orderkey"), F.col("value").alias("o_totalprice"))
 
 
 # ---- masks
@@ -738,3 +742,50 @@ def ext_udtf(spark, sf):
     spark.udtf.register(name, Parts)
     event_log(spark, sf).select("key").distinct().createOrReplaceTempView(f"keys_{name}")
     return spark.sql(f"SELECT k.key, p.part, p.digits FROM keys_{name} k, LATERAL {name}(k.key) p")
+
+
+@query("""SELECT 'user:' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run
+FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, run""")
+def kv_stream_sessions(spark, sf):
+    """Sessions of a key's mutations, counted by a stream."""
+    from ..streaming.log_stream import sessions
+
+    path = _scratch(spark)
+    e = events(spark, sf).select(F.col("ts").cast("timestamp").alias("t"), F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"))
+    e.write.parquet(f"{path}/in")
+    name = f"sessions_{uuid.uuid4().hex[:8]}"
+    source = spark.readStream.schema(e.schema).parquet(f"{path}/in")
+    q = sessions(source, "t", gap="6 hours").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("key", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("SELECT event_type, max(value) - min(value) AS spread FROM events GROUP BY event_type")
+def ext_udaf(spark, sf):
+    """An aggregate function in Python over Arrow batches."""
+
+    @F.pandas_udf("double")
+    def spread(v: pd.Series) -> float:
+        return v.max() - v.min()
+
+    return events(spark, sf).groupBy("event_type").agg(spread("value").alias("spread"))
+
+
+@query(_sql(f"SELECT key, seq FROM h WHERE {LIVE} AND EXISTS (SELECT 1 FROM customer c WHERE 'user:' || lpad(CAST(c.c_custkey AS VARCHAR), 6, '0') = h.key) AND seq > (SELECT avg(seq) FROM log)", _last(MAX, "h")))
+def ext_subqueries(spark, sf):
+    """A view, a common table expression, a correlated and a scalar subquery in SQL."""
+    tag = uuid.uuid4().hex[:8]
+    log = event_log(spark, sf)
+    log.createOrReplaceTempView(f"log_{tag}")
+    R.resolve(log, as_of_ms=AS_OF).createOrReplaceTempView(f"live_{tag}")
+    _customers(spark, sf).createOrReplaceTempView(f"customers_{tag}")
+    return spark.sql(f"WITH late AS (SELECT key, seq FROM live_{tag} WHERE seq > (SELECT avg(seq) FROM log_{tag})) SELECT key, seq FROM late WHERE EXISTS (SELECT 1 FROM customers_{tag} c WHERE c.key = late.key)")
+
+
+@query("SELECT event_id, upper(event_type) AS upper, reverse(event_type) AS backward, strlen(event_type) AS size, strftime(date_trunc('month', ts), '%Y-%m-%d') AS month, CAST(dayofyear(ts) AS INTEGER) AS day, CAST(hour(ts) AS INTEGER) AS hour, round(value, 0) AS whole, user_id % 7 AS rest, coalesce(nullif(event_type, 'view'), 'seen') AS seen FROM events")
+def ext_scalars(spark, sf):
+    t, e = F.col("ts"), F.col("event_type")
+    return events(spark, sf).select(
+        "event_id", F.upper(e).alias("upper"), F.reverse(e).alias("backward"), F.octet_length(e).cast("long").alias("size"), F.trunc(t.cast("date"), "month").cast("string").alias("month"), F.dayofyear(t).alias("day"),
+        F.hour(t).alias("hour"), F.round("value", 0).alias("whole"), (F.col("user_id") % 7).alias("rest"), F.coalesce(F.nullif(e, F.lit("view")), F.lit("seen")).alias("seen"),
+    )

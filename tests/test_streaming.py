@@ -35,3 +35,23 @@ def test_windows_and_sessions(spark, tmp_path):
         q.awaitTermination()
     assert spark.table("w").agg(F.sum("n")).first()[0] == 50
     assert spark.table("s").filter("n <> 1").count() == 0
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """Rows older than the watermark don't count; rows that are late by less do."""
+
+    def counted():
+        source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        q = L.activity(source, "at", late="30 minutes").writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    slice_of(spark, 0, 12, "a%d").coalesce(1).write.parquet(f"{tmp_path}/in")  # two hours, six rows each
+    counted()
+    slice_of(spark, 10, 11, "late%d").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")  # 10 minutes late: counts
+    counted()
+    slice_of(spark, 1, 3, "too late%d").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    counted()
+    slice_of(spark, 60, 61, "end%d").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    counted()
+    got = {r.start.hour: r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {0: 6, 1: 7}
