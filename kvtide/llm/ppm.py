@@ -52,7 +52,7 @@ PAD = b"\xff" * ORDER
 COMMON, COMMON_BYTES = 1 << 16, 64
 SAMPLE_DOCS = 4000
 #: Bytes of text worked on at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Grams in the broadcast table, and those a task holds before it sends them on.
 FREQUENT, HELD_GRAMS = 1 << 20, 1 << 21
 FOLDS, HELD = 5, 1
@@ -256,24 +256,33 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(g, n): the distinct grams of docs (text, held_out), with their counts in training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         held: tuple[list[bytes], list[bytes]] = ([], [])
-        size = 0
+        keys, ns, size, many = [], [], 0, 0
 
-        def flush() -> None:
-            nonlocal key, n, size
-            keys, ns = [key], [n]
+        def counted() -> None:
+            nonlocal size, many
             for weight, mine in ((1, held[0]), (0, held[1])):
                 if mine:
                     found = pa.array(grams(mine)).value_counts()
                     keys.append(found.field("values").to_numpy())
                     ns.append(found.field("counts").to_numpy() * weight)
+                    many += len(keys[-1])
                     mine.clear()
-            key, n = _summed(np.concatenate(keys), np.concatenate(ns))
             size = 0
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["g", "n"])
+        def merged() -> None:
+            nonlocal many
+            if keys:
+                key, n = _summed(np.concatenate(keys), np.concatenate(ns))
+                keys[:], ns[:], many = [key], [n], len(key)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            nonlocal many
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(ns[0])], ["g", "n"])
+            keys.clear()
+            ns.clear()
+            many = 0
 
         for b in batches:
             for t, out in zip(b.column(0), b.column(1), strict=True):
@@ -281,12 +290,14 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     held[out.as_py()].append(x)
                     size += len(x)
                     if size > CHUNK:
-                        flush()
-                        if len(key) > HELD_GRAMS:
-                            yield rows()
-                            key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        flush()
-        yield rows()
+                        counted()
+                        if many > HELD_GRAMS:  # distinct grams are fewer; send them on only if they are many by themselves
+                            merged()
+                            if many > HELD_GRAMS // 2:
+                                yield from rows()
+        counted()
+        merged()
+        yield from rows()
 
     return docs.select("text", "held_out").mapInArrow(lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
