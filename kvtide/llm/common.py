@@ -56,7 +56,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def small(table: DataFrame, rows: int = 100_000, size: int = 8 << 20) -> DataFrame:
     """A written table, marked for broadcast if its rows were counted and its files measured to be few; otherwise the join is left to the optimizer, which splits skewed keys."""
-    held = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    held = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(table) if held <= size and table.count() <= rows else table
 
 
