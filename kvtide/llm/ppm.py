@@ -52,9 +52,11 @@ PAD = b"\xff" * ORDER
 COMMON, COMMON_BYTES = 1 << 16, 64
 SAMPLE_DOCS = 4000
 #: Bytes of text worked on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Documents scored at a time.
+ROWS = 1024
 #: Grams in the broadcast table, and those a task holds before it sends them on.
-FREQUENT, HELD_GRAMS = 1 << 20, 1 << 21
+FREQUENT, HELD_GRAMS = 1 << 20, 1 << 20
 FOLDS, HELD = 5, 1
 
 
@@ -355,7 +357,7 @@ def score(docs: DataFrame) -> DataFrame:
         common, counts, known_grams, p = shared.value
         value = dict(zip(common, zip(np.log10(counts + 0.5).tolist(), (counts > 0).tolist(), strict=True), strict=True))
         index, rid = pd.Index(known_grams), TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             out = {k: [] for k in ("rid", "n", "known", "base", "rare", "tf")}
             total, far, far_n = np.zeros(b.num_rows), [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
             pieces, owner, size = [], [], 0
