@@ -55,3 +55,25 @@ def test_late_rows_are_left_out(spark, tmp_path):
     counted()
     got = {r.start.hour: r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {0: 6, 1: 7}
+
+
+def test_sessions_into_files(spark, tmp_path):
+    """The whole result after each batch, in files and not in the driver, with the state outside the heap."""
+    for lo, hi in ((0, 30), (30, 50)):
+        slice_of(spark, lo, hi, "a%d").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        q = L.into_files(L.sessions(source, "at", gap="2 hours"), f"{tmp_path}/out", f"{tmp_path}/c")
+        q.awaitTermination()
+        assert {(r.key, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(b"k%d" % i, hi // 10) for i in range(10)}
+    assert any("rocksdb" in name for name in q.lastProgress["stateOperators"][0]["customMetrics"])
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+
+
+def test_query_of_sessions_reads_files(spark, tmp_path):
+    from kvtide.plans import events_log
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    for name, rows in (("some", e), ("none", e.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/events.parquet")
+        got = events_log.kv_stream_sessions(spark, f"{tmp_path}/{name}")
+        assert got.inputFiles() and got.agg(F.sum("n")).first()[0] == (rows.count() or None)
