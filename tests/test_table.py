@@ -272,3 +272,18 @@ def test_overlap_join(spark, monkeypatch):
     got = C.overlap_join(*(spark.createDataFrame(x, "run int, min_key string, max_key string") for x in (a, b)))
     assert sorted((x.a_run, x.b_run) for x in got.collect()) == sorted((x[0], y[0]) for x in a for y in b if y[1] <= y[2] and x[1] <= y[2] and x[2] >= y[1])
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_pruning_of_files_stays_with_the_executors(spark):
+    """The predicate over a frame of files is that of one file, and no file's metadata goes to the driver."""
+    from kvtide.operators import compaction as C
+    from kvtide.plans import events_log as L
+
+    sf = "/root/testdata/sf0.001"
+    got = L.kv_file_prune(spark, sf)
+    files = [FileMeta(str(r.run), 0, 1, 1, r.min_key, r.max_key, 1, 1) for r in L._runs(spark, sf).collect()]
+    assert got.inputFiles() and {r.run for r in got.collect()} == {int(f.path) for f in files if f.overlaps(L.LO, L.HI)}
+    df = spark.createDataFrame([(f.path, f.min_key, f.max_key) for f in files], "path string, lo string, hi string")
+    for lo, hi in ((L.LO, None), (None, L.LO), (L.HI, L.LO), (L.HI, L.HI)):
+        assert {r.path for r in df.filter(C.overlapping(F.col("lo"), F.col("hi"), lo, hi)).collect()} == {f.path for f in files if f.overlaps(lo, hi)}
+    assert all(f.overlaps(None, None) for f in files)
