@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def file_name(number: Column, kind: str) -> Column:
-    """Six digits and a suffix: 000042.wal."""
-    return F.format_string(f"%06d.{kind}", number)
+    """Six digits, or more if the number has more, and a suffix: 000042.wal."""
+    return F.when(number.isNotNull(), F.format_string(f"%06d.{kind}", number))
 
 
 def shortened(c: Column, width: int) -> Column:

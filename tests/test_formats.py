@@ -130,3 +130,18 @@ def test_table_files_written_by_tasks(spark, tmp_path):
         spark.dataSource.register(sst.SstDataSource)
         df.unionByName(df).coalesce(1).write.format("kvsst").mode("append").save(f"file://{tmp_path}/bad")
     assert not [f for f in (tmp_path / "bad").glob("*")] if (tmp_path / "bad").exists() else True
+
+
+def test_names_of_large_numbers(spark, tmp_path):
+    """The query equals its SQL beyond six digits and without a number; a file's name keeps every digit."""
+    import duckdb
+
+    from kvtide.plans import events_log as L
+
+    ids = "VALUES (0L, 'view'), (999999L, 'signup'), (1000000L, 'purchase'), (1234567890123L, 'click'), (CAST(NULL AS BIGINT), 'error')"
+    spark.sql(f"SELECT * FROM ({ids}) AS e(event_id, event_type)").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = [tuple(r) for r in L.kv_names(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(c.sql(L.ORACLES["kv_names"]).fetchall(), key=str)
+    assert [r[0] for r in spark.read.parquet(f"{tmp_path}/events.parquet").filter("event_id > 999999").orderBy("event_id").select(text.file_name(F.col("event_id"), "sst")).collect()] == ["1000000.sst", "1234567890123.sst"]
