@@ -287,3 +287,25 @@ def test_pruning_of_files_stays_with_the_executors(spark):
     for lo, hi in ((L.LO, None), (None, L.LO), (L.HI, L.LO), (L.HI, L.HI)):
         assert {r.path for r in df.filter(C.overlapping(F.col("lo"), F.col("hi"), lo, hi)).collect()} == {f.path for f in files if f.overlaps(lo, hi)}
     assert all(f.overlaps(None, None) for f in files)
+
+
+def test_overlap_join_of_wide_files(spark, monkeypatch):
+    """Files over most keys take a bounded number of rows in the join, and every pair comes once."""
+    import random
+
+    from kvtide.operators import compaction as C
+
+    r = random.Random(4)
+    wide = lambda n: [(i, f"{r.randrange(300):04d}", f"{r.randrange(700, 1000):04d}") for i in range(n)]
+    narrow = lambda n: [(1000 + i, f"{x:04d}", f"{x + r.choice([0, 1, 5, 30]):04d}") for i, x in enumerate(r.randrange(1000) for _ in range(n))]
+    a, b = [*wide(60), *narrow(200)], [*wide(50), *narrow(200)]
+    frames = [spark.createDataFrame(x, "run int, min_key string, max_key string") for x in (a, b)]
+    for cells in (1, 3, 4, 64, 256):
+        monkeypatch.setattr(C, "CELLS", cells)
+        got = C.overlap_join(*frames)
+        assert sorted((x.a_run, x.b_run) for x in got.collect()) == sorted((x[0], y[0]) for x in a for y in b if x[1] <= y[2] and x[2] >= y[1])
+    sides, kind = [], type(frames[0])
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, other, *x: sides.extend([self, other]) or join(self, other, *x))
+    C.overlap_join(*(f.filter("run < 1000") for f in frames))
+    assert [s.select(s.columns[0]).distinct().count() for s in sides] == [60, 50] and all(s.count() <= 25 * n for s, n in zip(sides, (60, 50), strict=True))
