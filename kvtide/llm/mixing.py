@@ -34,11 +34,17 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 #: Hexadecimal digits of the hash that name a slice: 16 ** 3 = 4096 slices a source.
 SLICE_DIGITS = 3
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def n_words(text: Column) -> Column:
-    """Number of words between ASCII white space; null: 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACE)), F.lit(0)).cast("long")
+    """Number of words between ASCII white space; null: 0.
+
+    A word and the white space after it become one byte: regexp_count would hold
+    every word of the text as an object in an array first.
+    """
+    marks = F.regexp_replace(F.ltrim(text, F.lit(BLANKS)), F.lit(NOT_SPACE + r"[ \x09-\x0D]*"), F.lit("."))
+    return F.coalesce(F.octet_length(marks), F.lit(0)).cast("long")
 
 
 def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, total: Column | None = None) -> DataFrame:
@@ -99,8 +105,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with the fixed weights: doc_id, size, source_size, target, taken."""
-    d = read(spark, sf_dir, "documents").select(F.struct("doc_id").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mixed(d).select("row.doc_id", "size", "source_size", "target", (F.col("reps") * F.col("size")).alias("taken"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    d = written(d, "mix-sizes")  # the mix reads them twice, the texts once
+    return mixed(d.select(F.struct("doc_id").alias("row"), "doc_id", "source", "size")).select("row.doc_id", "size", "source_size", "target", (F.col("reps") * F.col("size")).alias("taken"))
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """License scans, quality rules, mixing and URL filters against plain Python, with the odd cases."""
 
+import itertools
 import math
 import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -292,6 +295,41 @@ def test_mixing_odd_rows(spark, odd):
     assert staged.columns == ["doc_id", "text", "lang", "source", "n_chars"] and staged.count() > 0
 
 
+def test_mixing_counts_words(spark):
+    """Every order of up to four separators and words, separators of one class only, and characters that are no separators."""
+    some = ["".join(x) for n in range(5) for x in itertools.product(" \n\rab", repeat=n)]
+    some += [f"{a}x{b}{c}é😀{d}" for a in "\t\x0b" for b in "\x0c\t" for c in "\x1c\x85\u00a0\u2003\x00" for d in ("", "\x0b\x0b")]
+    some += [" " * 100_000, " " * 100_000 + "a" + "\n" * 100_000 + "$1 \\1 .", "w\t" * 100_000, "日本 " * 1000, "x" * 100_000]
+    df = spark.createDataFrame(list(enumerate(some)), "i long, text string")
+    for r in df.select("i", mixing.n_words(F.col("text")).alias("n")).collect():
+        assert r.n == len(re.findall(r"[^ \x09-\x0D]+", some[r.i])), some[r.i][:20]
+
+
+LONG_TEXT = """
+from pyspark.sql import SparkSession, functions as F
+from kvtide.llm.mixing import n_words
+s = SparkSession.builder.master("local[1]").config("spark.driver.memory", "600m").config("spark.ui.enabled", "false").getOrCreate()
+text = F.repeat(F.lit("of a to it "), F.col("id").cast("int"))
+print("words", s.range(1_800_000, 1_800_001).select(n_words(text)).first()[0])
+"""
+
+
+def test_mixing_long_text_in_little_memory():
+    """20 MB of short words in a heap of 600 MB; as an array its 7,200,000 words take more."""
+    run = subprocess.run([sys.executable, "-c", LONG_TEXT], cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), capture_output=True, text=True, timeout=120)
+    assert run.stdout.split() == ["words", "7200000"]
+
+
+def test_mixing_reads_texts_once(spark, odd, tmp_path):
+    """What is left to run when the query returns reads no text again; rows are as many as they were, also none."""
+    for name, rows in (("some", odd), ("none", odd.filter("false"))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = mixing.op7_mixing(spark, str(tmp_path / name))
+        assert not [f for f in got.inputFiles() if "documents.parquet" in f]
+        want = rows.select("doc_id", mixing.n_words(F.col("text")).alias("size")).collect()
+        assert Counter((r.doc_id, r["size"]) for r in got.collect()) == Counter(map(tuple, want))
+
+
 def test_mixing_without_rows(spark, odd):
     none = odd.filter("false")
     assert mixing.mix(none).count() == 0
