@@ -38,8 +38,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +53,8 @@ COMMON, COMMON_BYTES = 1 << 16, 64
 SAMPLE_DOCS = 4000
 #: Bytes of text worked on at a time.
 CHUNK = 1 << 19
-#: Documents scored at a time.
-ROWS = 1024
+#: Documents scored at a time, 1 << 16 at most, and bytes of them (one text can be more).
+ROWS, GROUP = 1024, 1 << 22
 #: Grams in the broadcast table, and those a task holds before it sends them on.
 FREQUENT, HELD_GRAMS = 1 << 20, 1 << 20
 FOLDS, HELD = 5, 1
@@ -69,6 +69,46 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def texts_of(column: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of a column, ROWS and about GROUP bytes at a time."""
+    held, size = [], 0
+    for t in column:
+        held.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if len(held) == ROWS or size > GROUP:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def words_in(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one after the other, and the number in each text."""
+    a = np.frombuffer(b" ".join(texts).lower(), np.uint8)
+    solid = ~((a == 32) | ((a >= 9) & (a <= 13)))
+    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))  # starts and ends in turn
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    stop = np.cumsum([len(t) + 1 for t in texts])
+    many = np.diff(np.searchsorted(start, stop), prepend=0)
+    at = np.r_[0, np.cumsum(length)].astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(a[solid])])
+    return words, many
+
+
+def places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """The place of each word, -1 for others."""
+    return pc.fill_null(pc.index_in(words, value_set=among), -1).to_numpy()
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 # ---- the byte model
 
 
@@ -130,11 +170,24 @@ def probabilities(ctx: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and their sums."""
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    return key[new], np.add.reduceat(n, new) if len(new) else n
+    """Distinct keys, below 1 << 48, in order and the sums of their whole numbers."""
+    key, n = key.astype(np.uint64, copy=False), n.astype(np.int64, copy=False)
+    both = (key << np.uint64(16)) | (n & 0xFFFF).astype(np.uint64)  # sorting one array is far cheaper than an order of two
+    both.sort()
+    sorted_key = both >> np.uint64(16)
+    new = runs(sorted_key)
+    out = sorted_key[new]
+    sums = np.add.reduceat((both & np.uint64(0xFFFF)).astype(np.int64), new) if len(new) else n[:0]
+    more = np.flatnonzero(n >> 16)
+    np.add.at(sums, np.searchsorted(out, key[more]), n[more] & ~0xFFFF)
+    return out, sums
+
+
+def distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order and how often each is there."""
+    g = np.sort(g)
+    new = runs(g)
+    return g[new], np.diff(new, append=len(g))
 
 
 def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,17 +284,14 @@ def _counts(train: DataFrame, common: list[bytes]) -> tuple[np.ndarray, int, int
     """Over all training documents: counts of common tokens, all tokens, documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = {w: i for i, w in enumerate(common)}
+        among = pa.array(common, pa.large_binary())
         mine, tokens, docs = np.zeros(len(common), np.int64), 0, 0
         for b in batches:
-            words: Counter[bytes] = Counter()
-            for t in b.column(0):
-                w = words_of(t.as_py())
-                words.update(w)
-                tokens, docs = tokens + len(w) + 1, docs + 1
-            for w, k in words.items():
-                if (i := at.get(w)) is not None:
-                    mine[i] += k
+            for texts in texts_of(b.column(0)):
+                words, _ = words_in(texts)
+                at = places(words, among)
+                mine += np.bincount(at[at >= 0], minlength=len(mine))
+                tokens, docs = tokens + len(words) + len(texts), docs + len(texts)
         seen = np.flatnonzero(mine)
         rows = (np.r_[np.zeros(len(seen)), 2, 2], np.r_[seen, 0, 1], np.r_[mine[seen], tokens, docs])
         yield pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(rows, (np.int32, np.int64, np.int64), strict=True)], ["kind", "key", "n"])
@@ -265,10 +315,10 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             nonlocal size, many
             for weight, mine in ((1, held[0]), (0, held[1])):
                 if mine:
-                    found = pa.array(grams(mine)).value_counts()
-                    keys.append(found.field("values").to_numpy())
-                    ns.append(found.field("counts").to_numpy() * weight)
-                    many += len(keys[-1])
+                    key, n = distinct(grams(mine))
+                    keys.append(key)
+                    ns.append(n * weight)
+                    many += len(key)
                     mine.clear()
             size = 0
 
@@ -330,7 +380,7 @@ def scored_grams(counts: DataFrame) -> DataFrame:
 
 
 def _frequent(scored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent grams and their log probabilities, FREQUENT at most."""
+    """The most frequent grams in order and their log probabilities, FREQUENT at most."""
     size = F.length(F.bin("n"))  # powers of two
     most, at = 0, 65
     for r in scored.filter("n > 0").groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
@@ -338,8 +388,32 @@ def _frequent(scored: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if most > FREQUENT:
             break
         at = r["size"]
-    got = scored.filter((F.col("n") > 0) & (size >= at)).select("g", "p").toArrow()
-    return got["g"].to_numpy(), got["p"].to_numpy()
+    got = scored.filter((F.col("n") > 0) & (size >= at)).select("g", "p").toArrow().sort_by("g")
+    return got["g"].to_numpy().view(np.uint64), got["p"].to_numpy()
+
+
+def piece_scores(pieces: list[bytes], owner: list[int], known: np.ndarray, p: np.ndarray, rows: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sums of the log probabilities p of the known grams, in order, in the pieces of each row; and the other grams: row, gram, how often.
+
+    Grams are looked up once each, in order, and not where they occur.
+    """
+    g = grams(pieces) << np.uint64(16)  # 48 bits, and 16 for the row
+    g |= np.repeat(np.array(owner, np.uint64), [len(x) - ORDER for x in pieces])
+    both, n = distinct(g)
+    row, gram = (both & np.uint64(0xFFFF)).astype(np.int64), both >> np.uint64(16)
+    new = runs(gram)
+    at, here = _at(known, gram[new])
+    value = np.zeros(len(new))
+    value[here] = p[at[here]]
+    often = np.diff(new, append=len(gram))
+    other = np.flatnonzero(np.repeat(~here, often))
+    return np.bincount(row, np.repeat(value, often) * n, rows), (row[other], gram[other], n[other])
+
+
+def lists(row: np.ndarray, rows: int, *values: pa.Array) -> list[pa.Array]:
+    """Values as lists by row; rows are in order."""
+    at = pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(at, v) for v in values]
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -355,58 +429,46 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts, known_grams, p = shared.value
-        value = dict(zip(common, zip(np.log10(counts + 0.5).tolist(), (counts > 0).tolist(), strict=True), strict=True))
-        index, rid = pd.Index(known_grams), TaskContext.get().partitionId() << 40
-        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
-            out = {k: [] for k in ("rid", "n", "known", "base", "rare", "tf")}
-            total, far, far_n = np.zeros(b.num_rows), [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
-            pieces, owner, size = [], [], 0
-
-            def flush() -> None:
-                nonlocal size
+        among, value, seen = pa.array(common, pa.large_binary()), np.log10(counts + 0.5), counts > 0
+        rid = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            first = 0
+            for texts in texts_of(whole.column(0)):
+                rows = len(texts)
+                words, many = words_in(texts)
+                doc, at = np.repeat(np.arange(rows), many), places(words, among)
+                hit = at >= 0
+                base = end + np.bincount(doc[hit], value[at[hit]], rows)
+                known = int(n_docs > 0) + np.bincount(doc[hit], seen[at[hit]], rows).astype(np.int64)
+                rare = words.filter(pa.array(~hit)).dictionary_encode()
+                kinds = max(1, len(rare.dictionary))
+                key, tf = distinct(doc[~hit] * kinds + rare.indices.to_numpy())
+                rares = lists(key // kinds, rows, rare.dictionary.take(pa.array(key % kinds)).cast(pa.binary()), pa.array(tf))
+
+                total, far = np.zeros(rows), []
+                pieces, owner, size = [], [], 0
+                for i, t in enumerate(texts):
+                    for x in pieces_of(t):
+                        pieces.append(x)
+                        owner.append(i)
+                        size += len(x)
+                        if size > CHUNK:
+                            sums, others = piece_scores(pieces, owner, known_grams, p, rows)
+                            total += sums
+                            far.append(others)
+                            pieces, owner, size = [], [], 0
                 if pieces:
-                    g = grams(pieces).view(np.int64)
-                    row = np.repeat(owner, [len(x) - ORDER for x in pieces])
-                    at = index.get_indexer(g)
-                    if len(p):
-                        total[:] += np.bincount(row, np.where(at >= 0, p[at], 0), len(total))
-                    miss = np.flatnonzero(at < 0)
-                    if len(miss):
-                        o = miss[np.lexsort((g[miss], row[miss]))]
-                        new = np.flatnonzero(np.r_[True, (g[o][1:] != g[o][:-1]) | (row[o][1:] != row[o][:-1])])
-                        for r, x, k in zip(row[o][new].tolist(), g[o][new].tolist(), np.diff(np.r_[new, len(o)]).tolist(), strict=True):
-                            far[r].append(x)
-                            far_n[r].append(k)
-                pieces.clear()
-                owner.clear()
-                size = 0
-
-            for i, t in enumerate(b.column(0)):
-                t = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                c = Counter(t.lower().split())
-                n, known, base, rare, tf = 1, int(n_docs > 0), end, [], []
-                for w, k in c.items():
-                    n += k
-                    if (v := value.get(w)) is None:
-                        rare.append(w)
-                        tf.append(k)
-                    else:
-                        base += k * v[0]
-                        known += k * v[1]
-                for k, x in zip(out, (rid, n, known, base, rare, tf), strict=True):
-                    out[k].append(x)
-                rid += 1
-                for x in pieces_of(t):
-                    pieces.append(x)
-                    owner.append(i)
-                    size += len(x)
-                    if size > CHUNK:
-                        flush()
-            flush()
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            arrays = [pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)]
-            more = [pa.array(total), pa.array(far, pa.list_(pa.int64())), pa.array(far_n, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *arrays, *more], ["doc_id", "held_out", *out, "score", "far", "far_n"])
+                    sums, others = piece_scores(pieces, owner, known_grams, p, rows)
+                    total += sums
+                    far.append(others)
+                row, gram, often = (np.concatenate(x) for x in zip(*far, strict=True))
+                o = np.argsort(row, kind="stable")
+                fars = lists(row[o], rows, pa.array(gram[o].view(np.int64)), pa.array(often[o]))
+
+                arrays = [pa.array(x) for x in (rid + np.arange(rows), many + 1, known, base)]
+                keys = [whole.column(k).slice(first, rows) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*keys, *arrays, *rares, pa.array(total), *fars], ["doc_id", "held_out", "rid", "n", "known", "base", "rare", "tf", "score", "far", "far_n"])
+                first, rid = first + rows, rid + rows
 
     schema = f"doc_id {kind}, held_out boolean, rid long, n long, known long, base double, rare array<binary>, tf array<long>, score double, far array<long>, far_n array<long>"
     s = written(d.mapInArrow(lean(run), schema), "scores")

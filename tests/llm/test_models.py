@@ -189,6 +189,45 @@ def test_longer_contexts_help(spark):
     assert abs(-got[rows[-1][0]] / math.log10(2) - bits[ppm.ORDER]) < 0.1 and bits[ppm.ORDER] < 0.7 * bits[2]
 
 
+def test_words_of_many_texts_at_once():
+    """Words and their numbers are those of each text by itself: odd spaces, upper case beyond ASCII, nothing at all."""
+    texts = ["", " a  B\t", "Ünïcödé\x0b日本\x0cÄ", "\n", "a\x00b\x1cc\x85d\u2003e", "end"]
+    for some in (texts, texts[:1], [" "], ["x"], ["", ""]):
+        words, many = ppm.words_in([t.encode() for t in some])
+        want = [ppm.words_of(t) for t in some]
+        assert words.to_pylist() == [w for x in want for w in x] and many.tolist() == [len(x) for x in want]
+
+
+def test_texts_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "ROWS", 3)
+    monkeypatch.setattr(ppm, "GROUP", 40)
+    check_scores(spark, ODD + [(i, "the ring of w%d w%d" % (i % 7, i)) for i in range(10, 40)], 5, 100)
+
+
+def test_grams_are_looked_up_once(monkeypatch):
+    """A gram of many places and rows costs one look-up; the sums are those of each place."""
+    asked, at = [], ppm._at
+    monkeypatch.setattr(ppm, "_at", lambda keys, wanted: asked.append(len(wanted)) or at(keys, wanted))
+    texts = [b"ab" * 500, b"abab", b"xyz"]
+    pieces = [x for t in texts for x in ppm.pieces_of(t)]
+    known = np.unique(ppm.grams(pieces[:1]))
+    p = np.arange(1.0, len(known) + 1)
+    sums, (row, gram, n) = ppm.piece_scores(pieces, [0, 1, 2], known, p, 4)
+    value = dict(zip(known.tolist(), p, strict=True))
+    places = [ppm.grams([x]).tolist() for x in pieces]
+    assert asked == [len({g for x in places for g in x})] and asked[0] < 20
+    assert sums.tolist() == [sum(value.get(g, 0) for g in x) for x in places] + [0]
+    assert sorted(zip(row.tolist(), gram.tolist(), n.tolist(), strict=True)) == sorted((i, g, k) for i, x in enumerate(places) for g, k in Counter(x).items() if g not in value)
+
+
+def test_sums_of_large_counts():
+    key = np.array([5, (1 << 48) - 1, 5, 0, 5, 7], np.uint64)
+    n = np.array([65535, 1 << 40, 65536, 0, (1 << 33) + 3, 1], np.int64)
+    got = ppm._summed(key, n)
+    assert [x.tolist() for x in got] == [[0, 5, 7, (1 << 48) - 1], [0, 65535 + 65536 + (1 << 33) + 3, 1, 1 << 40]]
+    assert [len(x) for x in ppm._summed(key[:0], n[:0])] == [0, 0]
+
+
 def test_scores_without_training(spark):
     held = next(i for i in range(100) if fold(i) == 1)
     check_scores(spark, [(held, "ab c")], 1 << 16)
