@@ -36,6 +36,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -416,8 +417,29 @@ def lists(row: np.ndarray, rows: int, *values: pa.Array) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(at, v) for v in values]
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python gets at most so many rows at once meanwhile: all rows come, in smaller messages, so that both sides hold less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    if not 0 < int(before or 0) < rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for documents (doc_id, text)."""
+    with batches_of(docs.sparkSession, ROWS):
+        return _score(docs)
+
+
+def _score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select("text", "doc_id", held_out(F.col("doc_id")).alias("held_out"))
     common = _common(d)

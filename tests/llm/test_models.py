@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -204,6 +205,24 @@ def test_texts_in_groups(spark, monkeypatch):
     check_scores(spark, ODD + [(i, "the ring of w%d w%d" % (i % 7, i)) for i in range(10, 40)], 5, 100)
 
 
+def test_rows_sent_to_python(spark):
+    """Texts go to Python in smaller messages, and the session's own number is back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sent = lambda: max(r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect())
+    before = spark.conf.get(name, None)
+    try:
+        for own, most in ((None, 1024), ("100", 100), ("0", 1024)):
+            spark.conf.unset(name) if own is None else spark.conf.set(name, own)
+            with ppm.batches_of(spark, 1024):
+                assert sent() == most
+            assert spark.conf.get(name, None) == own
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    with pytest.raises(ZeroDivisionError), ppm.batches_of(spark, 7):
+        1 / 0  # noqa: B018
+    assert spark.conf.get(name, None) == before
+
+
 def test_grams_are_looked_up_once(monkeypatch):
     """A gram of many places and rows costs one look-up; the sums are those of each place."""
     asked, at = [], ppm._at
