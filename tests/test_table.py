@@ -309,3 +309,29 @@ def test_overlap_join_of_wide_files(spark, monkeypatch):
     monkeypatch.setattr(kind, "join", lambda self, other, *x: sides.extend([self, other]) or join(self, other, *x))
     C.overlap_join(*(f.filter("run < 1000") for f in frames))
     assert [s.select(s.columns[0]).distinct().count() for s in sides] == [60, 50] and all(s.count() <= 25 * n for s, n in zip(sides, (60, 50), strict=True))
+
+
+def test_overlap_join_carries_few_keys(spark, monkeypatch):
+    """A file of one key takes three rows in the join, and rows carry only the keys that are still to be compared."""
+    import random
+
+    from kvtide.operators import compaction as C
+
+    r = random.Random(5)
+    one = lambda n: [(i, k, k) for i, k in enumerate(f"{r.randrange(2000):04d}" for _ in range(n))]
+    some = lambda n: [(1000 + i, f"{k:04d}", f"{k + r.choice([9, 60, 150, 900]):04d}") for i, k in enumerate(r.randrange(1000) for _ in range(n))]
+    a, b = [*one(300), *some(80)], [*one(300), *some(90)]
+    want = sorted((x[0], y[0]) for x in a for y in b if x[1] <= y[2] and x[2] >= y[1])
+    for kind in ("string", "binary"):
+        frames = [spark.createDataFrame(x, "run int, min_key string, max_key string").selectExpr("run", *(f"cast({k} as {kind}) as {k}" for k in ("min_key", "max_key"))) for x in (a, b)]
+        got = C.overlap_join(*frames)
+        assert got.columns == ["a_run", "a_min_key", "a_max_key", "b_run", "b_min_key", "b_max_key"]
+        assert sorted((x.a_run, x.b_run) for x in got.collect()) == want
+    sides, frame = [], type(frames[0])
+    join = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, other, *x: sides.extend([self, other]) or join(self, other, *x))
+    C.overlap_join(*frames)
+    for p, s, n in zip("ab", sides, (80, 90), strict=True):
+        assert s.filter(f"{p}_run < 1000").count() == 3 * 300 and s.filter(f"{p}_run >= 1000").count() <= 19 * n
+        keys = s.filter(f"{p}_run >= 1000").agg({f"{p}_lo": "count", f"{p}_hi": "count"}).first()
+        assert keys[f"count({p}_lo)"] <= 4 * n and keys[f"count({p}_hi)"] <= 2 * n
